@@ -46,46 +46,54 @@ def grow(
 
 
 class EdgeIndex:
-    """Edges shuffled once by their probe key, so a loop shuffles only its frontier.
+    """Edges laid out once by their probe key, so a loop shuffles only its frontier.
 
-    A key with more than `hot` edges is split by a hash of its far end into pieces of about that
-    size, and a probing row is copied to each piece: one hub table read by a third of all tasks
-    does not become one task's work.
+    The edges are computed once into the scratch space. Few edges stay there: the planner knows
+    their exact size and broadcasts or shuffles them as that size says. Many are shuffled by key
+    and held. A key with more than `hot` of them is split by a hash of its far end into pieces of
+    about that size, and a probing row is copied to each piece, so one hub table read by a third of
+    all tasks does not become one task's work.
     """
 
     def __init__(
         self, edges: DataFrame, key: Sequence[str], spread: Sequence[str], hot: int = HOT_KEY_EDGES
     ):
-        self.key = list(key)
-        heavy = (
-            edges.groupBy(*self.key)
-            .agg(F.count(F.lit(1)).alias("_n"))
-            .filter(F.col("_n") > hot)
-            .select(*self.key, F.ceil(F.col("_n") / hot).cast("int").alias("_fan"))
-        )
-        self.heavy, found = Scratch(edges.sparkSession, "hot-keys").write(heavy, "t")
-        self.salted = found > 0
-        if self.salted:
-            edges = edges.join(self.heavy, self.key, "left").withColumn(
-                "_salt",
-                F.when(F.col("_fan").isNull(), F.lit(0)).otherwise(
+        self.on = self.key = list(key)
+        spark = edges.sparkSession
+        scratch = Scratch(spark, "edges")
+        edges, rows = scratch.write(edges, "edges")
+        self.salted = self.held = False
+        if rows > hot:
+            heavy = (
+                edges.groupBy(*self.key)
+                .agg(F.count(F.lit(1)).alias("_n"))
+                .filter(F.col("_n") > hot)
+                .select(*self.key, F.ceil(F.col("_n") / hot).cast("int").alias("_fan"))
+            )
+            self.heavy, found = scratch.write(heavy, "heavy")
+            self.salted = found > 0
+            if self.salted:
+                salt = F.when(F.col("_fan").isNull(), F.lit(0)).otherwise(
                     F.pmod(F.xxhash64(*spread), F.col("_fan")).cast("int")
-                ),
-            ).drop("_fan")
-        on = self.key + (["_salt"] if self.salted else [])
-        parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        self.on = on
-        self.edges = edges.repartition(parts, *on).persist(StorageLevel.MEMORY_AND_DISK)
+                )
+                edges = (
+                    edges.join(self.heavy, self.key, "left").withColumn("_salt", salt).drop("_fan")
+                )
+                self.on = [*self.key, "_salt"]
+            parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+            edges = edges.repartition(parts, *self.on).persist(StorageLevel.MEMORY_AND_DISK)
+            self.held = True
+        self.edges = edges
 
     def probe(self, rows: DataFrame) -> DataFrame:
         """Inner join of `rows` with the edges on the key."""
         if self.salted:
+            pieces = F.sequence(F.lit(0), F.coalesce("_fan", F.lit(1)) - 1)
             rows = (
-                rows.join(self.heavy, self.key, "left")
-                .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_fan", F.lit(1)) - 1)))
-                .drop("_fan")
+                rows.join(self.heavy, self.key, "left").withColumn("_salt", F.explode(pieces)).drop("_fan")
             )
         return rows.join(self.edges, self.on).drop("_salt")
 
     def release(self) -> None:
-        self.edges.unpersist()
+        if self.held:
+            self.edges.unpersist()

@@ -21,6 +21,7 @@ def local_session(cpus: int = 8, app: str = "tidemark", **extra: str) -> SparkSe
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.ui.retainedExecutions", "5")
     )
     for key, value in extra.items():

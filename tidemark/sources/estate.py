@@ -117,6 +117,41 @@ VIEWS: dict[str, str] = {
         FROM {writes} w JOIN {lineitem} l ON w.task = 't:' || l.l_orderkey
         WHERE l.l_tax > 0.06
         GROUP BY w.flow, w.task, w.dataset, l.l_returnflag, l.l_linenumber""",
+    # The same registrations sent again: a few titles, inputs and volatile lists have moved.
+    "declared": """
+        SELECT o_orderpriority AS flow, 't:' || o_orderkey AS task,
+               CASE WHEN o_totalprice > 260000 THEN 'Order ' || o_orderkey ELSE '' END AS title,
+               CASE WHEN o_orderstatus = 'F' THEN 'client-new' END AS client
+        FROM {orders} WHERE o_totalprice > 40000""",
+    "recorded": """
+        SELECT o_orderpriority AS flow, 't:' || o_orderkey AS task,
+               CASE WHEN o_totalprice > 250000 THEN 'Order ' || o_orderkey ELSE '' END AS title,
+               CASE WHEN o_totalprice > 300000 THEN 'client-old' END AS client,
+               CASE WHEN o_orderstatus = 'F' THEN 'complete' WHEN o_orderstatus = 'O' THEN 'stale' ELSE 'running' END AS status
+        FROM {orders} WHERE o_totalprice < 460000""",
+    "declared_reads": """
+        SELECT DISTINCT flow, 't:' || k AS task, 'd:' || d AS dataset FROM {line_reads} WHERE line < 7 OR returnflag <> 'R'""",
+    "declared_volatile": """
+        SELECT w.flow, w.task, w.dataset, 'col_' || l.l_returnflag || l.l_linenumber AS column_name
+        FROM {writes} w JOIN {lineitem} l ON w.task = 't:' || l.l_orderkey
+        WHERE l.l_tax > 0.06 AND (l.l_discount < 0.09 OR l.l_quantity < 25)
+        GROUP BY w.flow, w.task, w.dataset, l.l_returnflag, l.l_linenumber""",
+    "tags": """
+        SELECT o_orderpriority AS flow, 't:' || o_orderkey AS task,
+               CASE WHEN o_totalprice > 100000 THEN 'stale_work' ELSE 'reviewed' END AS tag
+        FROM {orders} WHERE o_orderstatus <> 'F'""",
+    "measured": """
+        SELECT o_orderpriority AS flow, 't:' || o_orderkey AS task,
+               CAST(floor(o_totalprice / 100) AS BIGINT) - 500 AS detected_ms
+        FROM {orders} WHERE o_totalprice > 20000""",
+    "expected": """
+        SELECT event_id AS pos, 't:' || (user_id * 100 + CAST(floor(value) AS BIGINT)) AS task FROM {events}""",
+    "outside": """
+        SELECT o_orderpriority AS flow, 'd:' || o_orderkey AS dataset,
+               CASE WHEN o_totalprice > 400000 THEN 's:N' ELSE 's:' || o_orderstatus END AS schema_fp,
+               CASE WHEN o_totalprice > 350000 THEN 'p:' || o_custkey WHEN o_totalprice > 320000 THEN 'z:1'
+                    ELSE 'c:' || CAST(floor(o_totalprice) AS BIGINT) END AS content_fp
+        FROM {orders} WHERE o_orderstatus <> 'F' OR o_totalprice > 200000""",
     "trace": """
         SELECT 'u:' || user_id AS flow, event_id AS seq, ts AS at,
                CASE event_type WHEN 'view' THEN 'read' WHEN 'click' THEN 'compare' WHEN 'signup' THEN 'write'
@@ -150,9 +185,9 @@ VIEWS: dict[str, str] = {
         SELECT r.request, 'urn:li:dataset:d' || o.o_orderkey AS asset
         FROM {requests} r JOIN {orders} o ON o.o_custkey = r.c_custkey""",
     "keys": """
-        SELECT 'key_' || s_suppkey AS key_id, s_name AS attestor, CAST('1995-06-01' AS TIMESTAMP) AS not_before,
+        SELECT 'key_' || s_suppkey AS key_id, s_name AS attestor, DATE '1995-06-01' AS not_before,
                CASE WHEN s_acctbal < 0 THEN 'compromised' WHEN s_acctbal > 9000 THEN 'retired' ELSE 'active' END AS state,
-               CASE WHEN s_acctbal < 0 OR s_acctbal > 9000 THEN CAST('1998-01-01' AS TIMESTAMP) END AS state_at
+               CASE WHEN s_acctbal < 0 OR s_acctbal > 9000 THEN DATE '1998-01-01' END AS state_at
         FROM {supplier}""",
     "key_scopes": """
         SELECT 'key_' || s_suppkey AS key_id, 'urn:li:dataset:d*' AS scope FROM {supplier} WHERE s_nationkey < 15
