@@ -56,12 +56,19 @@ class EdgeIndex:
     """
 
     def __init__(
-        self, edges: DataFrame, key: Sequence[str], spread: Sequence[str], hot: int = HOT_KEY_EDGES
+        self,
+        edges: DataFrame,
+        key: Sequence[str],
+        spread: Sequence[str],
+        hot: int = HOT_KEY_EDGES,
+        rows: int | None = None,
     ):
+        """`rows` is given when `edges` is a scratch table already, with its row count."""
         self.on = self.key = list(key)
         spark = edges.sparkSession
         scratch = Scratch(spark, "edges")
-        edges, rows = scratch.write(edges, "edges")
+        if rows is None:
+            edges, rows = scratch.write(edges, "edges")
         self.salted = self.held = False
         if rows > hot:
             heavy = (

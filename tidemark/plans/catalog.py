@@ -1,6 +1,11 @@
 """Every registered query, gathered by importing the modules that register them."""
 
-from tidemark.plans import board_queries, change_queries, graph_queries  # noqa: F401
+from tidemark.plans import (  # noqa: F401
+    board_queries,
+    change_queries,
+    erasure_queries,
+    graph_queries,
+)
 from tidemark.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -195,6 +195,61 @@ VIEWS: dict[str, str] = {
         SELECT 'key_' || s_suppkey AS key_id, 'urn:li:dataset:d' || s_nationkey || '*' AS scope FROM {supplier} WHERE s_nationkey >= 10
         UNION ALL
         SELECT 'key_' || s_suppkey AS key_id, 'urn:li:dataset:d' || s_suppkey AS scope FROM {supplier}""",
+    "table_lineage": """
+        SELECT downstream, upstream FROM {lineage} WHERE downstream LIKE 'urn:li:dataset:%' AND upstream LIKE 'urn:li:dataset:%'""",
+    # Evidence is filed about the seeds and what is built directly on them.
+    "evidence": """
+        SELECT request, asset FROM {seeds}
+        UNION SELECT s.request, t.downstream AS asset FROM {seeds} s JOIN {table_lineage} t ON t.upstream = s.asset""",
+    "evidence_lines": """
+        SELECT 'urn:li:dataset:d' || l_orderkey AS asset, l_linenumber AS line, CAST(floor((l_linenumber + 1) / 2) AS INT) AS vno,
+               min(l_returnflag) AS flag, max(l_linestatus) AS side, min(l_shipdate) AS at, min(l_suppkey) AS supp,
+               min(l_quantity) AS qty, min(l_discount) AS disc, min(l_tax) AS tax
+        FROM {lineitem} GROUP BY l_orderkey, l_linenumber""",
+    "attestations": """
+        SELECT v.request || '|' || v.asset || '|' || e.line AS att_id, v.request, v.asset, 'v' || e.vno AS version,
+               CASE WHEN e.side = 'F' THEN 'direct' ELSE 'rebuild' END AS kind,
+               CASE WHEN e.side = 'F' THEN CASE WHEN e.flag = 'R' AND e.line > 5 AND e.qty < 12 THEN 'present' ELSE 'absent' END END AS result,
+               CASE WHEN e.side = 'O' THEN CASE WHEN e.qty < 4 THEN 'merge' WHEN e.qty < 6 THEN 'append' WHEN e.qty < 8 THEN 'partition' ELSE 'full' END END AS materialization,
+               CASE WHEN e.side = 'O' THEN CASE WHEN e.tax > 0.075 THEN 0 ELSE 1 END END AS sole_producer,
+               CASE WHEN e.side = 'F' THEN CASE WHEN e.qty > 38 THEN 'partitions' ELSE 'whole' END END AS scope_kind,
+               CASE WHEN e.side = 'F' AND e.qty > 38 THEN 2 END AS scope_total,
+               'key_' || e.supp AS key_id, k.attestor, e.at, e.line AS seq,
+               CASE WHEN e.disc > 0.045 AND e.disc < 0.055 THEN 0 ELSE 1 END AS signature_valid,
+               CASE WHEN e.tax < 0.005 THEN 1 ELSE 0 END AS retracted
+        FROM {evidence} v JOIN {evidence_lines} e ON e.asset = v.asset JOIN {keys} k ON k.key_id = 'key_' || e.supp""",
+    "att_identifiers": """
+        SELECT v.request || '|' || v.asset || '|' || e.line AS att_id, i.identifier
+        FROM {evidence} v JOIN {evidence_lines} e ON e.asset = v.asset JOIN {request_identifiers} i ON i.request = v.request
+        WHERE e.side = 'F' AND (e.flag <> 'N' OR i.identifier LIKE 'cust%') AND (e.disc < 0.085 OR i.identifier LIKE 'mail%')""",
+    "att_partitions": """
+        SELECT v.request || '|' || v.asset || '|' || e.line AS att_id, CASE WHEN e.line = 2 * e.vno THEN 'p2' ELSE 'p1' END AS part_name
+        FROM {evidence} v JOIN {evidence_lines} e ON e.asset = v.asset WHERE e.side = 'F' AND e.qty > 38""",
+    # A rebuild declares the recorded upstreams, sometimes too few; an even line over 24 rewrote its own prior version.
+    "att_inputs": """
+        SELECT v.request || '|' || v.asset || '|' || e.line AS att_id, t.upstream AS input_asset, 'v' || e.vno AS input_version
+        FROM {evidence} v JOIN {evidence_lines} e ON e.asset = v.asset JOIN {table_lineage} t ON t.downstream = v.asset
+        WHERE e.side = 'O' AND NOT (e.qty > 24 AND e.line = 2 * e.vno) AND (e.qty > 14 OR t.upstream < v.asset)
+        UNION ALL
+        SELECT v.request || '|' || v.asset || '|' || e.line AS att_id, v.asset AS input_asset, 'v' || (e.vno - 1) AS input_version
+        FROM {evidence} v JOIN {evidence_lines} e ON e.asset = v.asset
+        WHERE e.side = 'O' AND e.qty > 24 AND e.line = 2 * e.vno""",
+    "challenges": """
+        SELECT 'n:' || v.request || '|' || v.asset || '|' || e.line AS nonce, v.request,
+               CASE WHEN e.qty > 48 THEN 'urn:li:dataset:other' ELSE v.asset END AS asset,
+               CASE WHEN e.disc > 0.065 AND e.disc < 0.075 THEN DATE '2001-06-01' ELSE DATE '1995-01-01' END AS issued_at,
+               CASE WHEN e.tax > 0.065 AND e.tax < 0.075 THEN DATE '2001-07-01' ELSE DATE '2002-06-01' END AS expires_at,
+               CASE WHEN e.qty < 3 THEN 1 ELSE 0 END AS consumed
+        FROM {evidence} v JOIN {evidence_lines} e ON e.asset = v.asset WHERE e.qty <> 25""",
+    # What a submission says beside what was filed about it.
+    "submissions": """
+        SELECT a.*, 'n:' || CASE WHEN e.qty = 30 THEN v.request || '|' || v.asset || '|' || 1 ELSE a.att_id END AS nonce,
+               CASE WHEN e.qty = 31 THEN 'Supplier#none' ELSE a.attestor END AS claimed_attestor,
+               CASE WHEN e.qty = 32 THEN 'key_none' ELSE a.key_id END AS signed_key,
+               CASE WHEN e.qty = 33 THEN 'r:none' ELSE a.request END AS said_request,
+               CASE WHEN e.qty = 34 THEN 'urn:li:dataset:elsewhere' ELSE a.asset END AS filed_asset
+        FROM {attestations} a JOIN {evidence} v ON v.request = a.request AND v.asset = a.asset
+        JOIN {evidence_lines} e ON e.asset = a.asset AND e.line = a.seq""",
 }
 
 
@@ -247,4 +302,4 @@ def oracle(query: str, **extra: str) -> str:
     body = plain(query).strip()
     if body.startswith("WITH"):
         body = f"SELECT * FROM ({body})"
-    return f"WITH RECURSIVE {ctes}\n{body}"
+    return f"WITH RECURSIVE {ctes}\n{body}"
\ No newline at end of file
