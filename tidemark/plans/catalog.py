@@ -5,6 +5,7 @@ from tidemark.plans import (  # noqa: F401
     change_queries,
     erasure_queries,
     graph_queries,
+    mart_queries,
 )
 from tidemark.plans.registry import ORACLES, QUERIES
 

@@ -157,6 +157,29 @@ VIEWS: dict[str, str] = {
                CASE event_type WHEN 'view' THEN 'read' WHEN 'click' THEN 'compare' WHEN 'signup' THEN 'write'
                     WHEN 'purchase' THEN 'walk' ELSE 'done' END AS phase
         FROM {events}""",
+    # A journey per order line, and the nations as the zones it runs between; some zone ids resolve to nothing.
+    "trips": """
+        SELECT l.l_orderkey AS trip_id, o.o_orderdate + INTERVAL '1' HOUR * CAST(l.l_partkey % 24 AS INT) AS pickup_datetime,
+               l.l_shipdate AS dropoff_datetime, l.l_linenumber AS passenger_count,
+               CAST(l.l_quantity AS DECIMAL(18, 2)) * CAST(0.2 AS DECIMAL(18, 2)) AS trip_distance,
+               CAST(l.l_extendedprice AS DECIMAL(18, 2)) AS fare_amount,
+               CAST(l.l_extendedprice AS DECIMAL(18, 2)) * CAST(l.l_discount AS DECIMAL(18, 2)) AS tip_amount,
+               CAST(l.l_extendedprice AS DECIMAL(18, 2)) * CAST(1 + l.l_tax AS DECIMAL(18, 2)) AS total_amount,
+               CASE WHEN l.l_returnflag = 'N' THEN 1 WHEN l.l_returnflag = 'A' THEN 2 WHEN l.l_linestatus = 'O' THEN 3 ELSE 4 END AS payment_type,
+               CASE WHEN s.s_acctbal < 0 THEN 99 ELSE s.s_nationkey END AS pickup_zone_id,
+               CASE WHEN c.c_acctbal < 0 THEN 98 ELSE c.c_nationkey END AS dropoff_zone_id,
+               l.l_partkey, l.l_suppkey, l.l_quantity
+        FROM {lineitem} l JOIN {orders} o ON o.o_orderkey = l.l_orderkey JOIN {supplier} s ON s.s_suppkey = l.l_suppkey
+        JOIN {customer} c ON c.c_custkey = o.o_custkey""",
+    "zones": """
+        SELECT n_nationkey AS zone_id, '  ' || n_name || CASE WHEN n_regionkey = 2 THEN ' Airport ' ELSE ' ' END AS zone_name,
+               r_name AS borough, 'yellow' AS service_zone
+        FROM {nation} JOIN {region} ON n_regionkey = r_regionkey""",
+    "raw_orders": """
+        SELECT o_orderkey AS order_id, '  ' || CASE WHEN o_totalprice > 250000 THEN upper(c_name) ELSE replace(c_name, '#', '   ') END || ' ' || lower(c_mktsegment) AS customer,
+               CASE WHEN o_orderpriority = '5-LOW' THEN NULL WHEN o_totalprice < 20000 THEN -o_totalprice ELSE o_totalprice END AS order_total,
+               o_orderdate AS order_date
+        FROM {orders} JOIN {customer} ON c_custkey = o_custkey""",
     # The append-only ledger: one record per order and line number; some numbers are missing.
     "ledger": """
         SELECT 'attestation' AS kind, 'k:' || l_orderkey AS ledger_key, l_linenumber AS seq, max(l_shipdate) AS at,
