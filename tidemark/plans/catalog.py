@@ -6,6 +6,7 @@ from tidemark.plans import (  # noqa: F401
     erasure_queries,
     graph_queries,
     mart_queries,
+    record_queries,
 )
 from tidemark.plans.registry import ORACLES, QUERIES
 
