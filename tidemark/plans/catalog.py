@@ -7,6 +7,7 @@ from tidemark.plans import (  # noqa: F401
     graph_queries,
     mart_queries,
     record_queries,
+    stream_queries,
 )
 from tidemark.plans.registry import ORACLES, QUERIES
 
