@@ -39,7 +39,7 @@ def restored_by(
 
     Every rule that does not depend on what else gets cleared is settled first, once. What is left
     is "cleared after every unsettled writer it reads from is cleared", which is the layering of
-    the candidates by those writers; a cycle is never cleared.
+    the candidates behind the tables those writers feed; a cycle is never cleared.
     """
     live = firing(decisions, causes, unchanged).select("flow", "finishing")
     moved = (
@@ -61,34 +61,34 @@ def restored_by(
         candidates = candidates.join(exclude.select("flow", "task"), ["flow", "task"], "left_anti")
     candidates = candidates.select("flow", "task", "finishing", F.col("finished_at").alias("read_at"))
 
-    noticed = fps.filter(F.col("slot") == "observed").select(
-        "flow", F.col("task").alias("writer"), "dataset", F.lit(1).alias("noticed")
-    )
-    cited = causes.select("flow", "task", F.col("caused_by").alias("dataset"), F.lit(1).alias("cited"))
-    cited = cited.distinct()
-    wrote = writes.select("flow", "dataset", F.col("task").alias("writer")).join(
-        tasks.select("flow", F.col("task").alias("writer"), "status", F.col("finished_at").alias("wrote_at")),
-        ["flow", "writer"],
+    noticed = fps.filter(F.col("slot") == "observed").select("flow", "task", "dataset", F.lit(1).alias("noticed"))
+    cited = causes.select("flow", "task", F.col("caused_by").alias("dataset"), F.lit(1).alias("cited")).distinct()
+    wrote = (
+        writes.select("flow", "dataset", "task")
+        .join(tasks.select("flow", "task", "status", F.col("finished_at").alias("wrote_at")), ["flow", "task"])
+        .join(live, "flow")
+        .join(noticed, ["flow", "task", "dataset"], "left")
+        .withColumn("settled", (F.col("task") == F.col("finishing")) | (F.col("status") == "complete"))
     )
-    ground = (
+    # What every writer of a table has to satisfy, as one row per table.
+    ground = wrote.groupBy("flow", "dataset").agg(
+        F.max("wrote_at").alias("last_write"),
+        F.bool_or(F.col("wrote_at").isNull() | (F.col("noticed") == 1)).alias("doubted"),
+    ).join(moved, ["flow", "dataset"], "left")
+    footing = (
         reads.join(candidates, ["flow", "task"])
-        .join(wrote, ["flow", "dataset"])
-        .join(moved, ["flow", "dataset"], "left")
-        .join(noticed, ["flow", "writer", "dataset"], "left")
+        .join(ground, ["flow", "dataset"])
         .join(cited, ["flow", "task", "dataset"], "left")
     )
-    in_time = F.coalesce(F.col("wrote_at") <= F.col("read_at"), F.lit(False))
-    sound = F.col("moved").isNull() & F.col("noticed").isNull() & F.col("cited").isNull() & in_time
-    settled = (F.col("writer") == F.col("finishing")) | (F.col("status") == "complete")
-    ground = ground.select("flow", "task", "writer", sound.alias("sound"), settled.alias("settled"))
-    hopeless = ground.filter(~F.col("sound")).select("flow", "task")
+    in_time = F.coalesce(F.col("last_write") <= F.col("read_at"), F.lit(False))
+    doubted = F.coalesce("doubted", F.lit(False))
+    sound = F.col("moved").isNull() & F.col("cited").isNull() & in_time & ~doubted
+    footing = footing.select("flow", "task", F.col("dataset").alias("gate"), sound.alias("sound"))
+    hopeless = footing.filter(~F.col("sound")).select("flow", "task")
     nodes = candidates.select("flow", "task").join(hopeless, ["flow", "task"], "left_anti")
-    waits = (
-        ground.filter(F.col("sound") & ~F.col("settled"))
-        .select("flow", "task", F.col("writer").alias("before"))
-        .distinct()
-    )
-    placed = layers(nodes, waits.join(nodes, ["flow", "task"], "left_semi"))
+    waits = footing.drop("sound").join(nodes, ["flow", "task"], "left_semi")
+    feeds = wrote.filter(~F.col("settled")).select("flow", F.col("dataset").alias("gate"), "task")
+    placed = layers(nodes, waits, feeds)
     return placed.filter(F.col("wave").isNotNull()).select("flow", "task", "wave")
 
 
@@ -99,7 +99,7 @@ def ready_to_start(tasks: DataFrame, reads: DataFrame, writes: DataFrame) -> Dat
     """Registered tasks whose every input has no writer or only finished ones."""
     waiting = tasks.filter(F.col("status") == "registered").select("flow", "task")
     mine = reads.join(waiting, ["flow", "task"], "left_semi")
-    unmet = every_writer(mine, writes, tasks, F.col("w_status").isin(*FINISHED), True).filter(~F.col("met"))
+    unmet = every_writer(mine, writes, tasks, F.col("status").isin(*FINISHED), True).filter(~F.col("met"))
     return waiting.join(unmet.select("flow", "task"), ["flow", "task"], "left_anti")
 
 

@@ -220,9 +220,6 @@ def merge_registration(recorded: DataFrame, declared: DataFrame) -> DataFrame:
 
 # -- observations ------------------------------------------------------------------------------
 
-VERDICT_RANK = {"current": 0, "superseded-report": 1, "superseded-notice": 1, "unknown": 2}
-
-
 def on_record(fps: DataFrame) -> DataFrame:
     """One row per writer and table with its slots side by side; writers with something on record."""
     def pick(name: str, field: str) -> Column:
@@ -264,11 +261,45 @@ def classify(observations: DataFrame, fps: DataFrame) -> DataFrame:
     )
 
 
-def resolve(classified: DataFrame, key: Sequence[str]) -> DataFrame:
-    """The verdict that decides: current before superseded before unknown, then the first writer."""
-    rank = F.when(F.col("verdict") == "current", 0).when(F.col("verdict") == "unknown", 2).otherwise(1)
-    fields = F.struct("verdict", "writer", "standing_schema", "standing_content", "schema_fp", "content_fp")
-    return classified.groupBy(*key).agg(F.min_by(fields, F.struct(rank, "writer")).alias("v")).select(*key, "v.*")
+def resolve(observations: DataFrame, fps: DataFrame) -> DataFrame:
+    """Each observation with the verdict that decides: current before superseded before unknown.
+
+    Among writers of one rank the first by name decides. No observation is compared writer by
+    writer: what the writers hold is reduced to one row per table and fingerprint, each the first
+    writer holding it, and the observation looks its own fingerprint up.
+    """
+    held = on_record(fps)
+    where = ["flow", "dataset"]
+
+    def holding(schema: str, content: str, rank: int, verdict: str, only: str = "true") -> DataFrame:
+        return held.filter(F.col(schema).isNotNull()).filter(only).select(
+            *where,
+            F.col(schema).alias("schema_fp"),
+            F.col(content).alias("content_fp"),
+            F.struct(
+                "writer", F.lit(rank).alias("rank"), F.lit(verdict).alias("verdict"), "standing_schema", "standing_content"
+            ).alias("said"),
+        )
+
+    printed = [*where, "schema_fp", "content_fp"]
+    current = holding("standing_schema", "standing_content", 0, "current")
+    noticed = holding("current_schema_fp", "current_content_fp", 0, "superseded-notice", "observed_schema_fp IS NOT NULL")
+    replaced = holding("previous_schema_fp", "previous_content_fp", 1, "superseded-report")
+    first_current = current.groupBy(*printed).agg(F.min("said").alias("is_current"))
+    first_late = noticed.unionByName(replaced).groupBy(*printed).agg(F.min("said").alias("is_late"))
+    first_any = held.groupBy(*where).agg(
+        F.min(
+            F.struct("writer", F.lit(2).alias("rank"), F.lit("unknown").alias("verdict"), "standing_schema", "standing_content")
+        ).alias("is_known")
+    )
+    said = F.coalesce("is_current", "is_late", "is_known")
+    return (
+        observations.join(first_any, where)
+        .join(first_current, printed, "left")
+        .join(first_late, printed, "left")
+        .select(*observations.columns, said.alias("said"))
+        .select(*observations.columns, "said.verdict", "said.writer", "said.standing_schema", "said.standing_content")
+    )
 
 
 def observation_verdicts(
@@ -280,7 +311,7 @@ def observation_verdicts(
     """
     if outputs is not None:
         observations = observations.join(outputs.select(*OUTPUT_KEY), OUTPUT_KEY, "left_anti")
-    decided = resolve(classify(observations, fps), OUTPUT_KEY).select(*OUTPUT_KEY, "verdict", "writer")
+    decided = resolve(observations, fps).select(*OUTPUT_KEY, "verdict", "writer")
     written = writes.select("flow", "dataset").distinct().withColumn("written", F.lit(1))
     no_record = F.when(F.col("written") == 1, "writer-unfinished").otherwise("nothing-writes-it")
     return (
@@ -290,16 +321,16 @@ def observation_verdicts(
     )
 
 
-def unreported_changes(observations: DataFrame, fps: DataFrame, key: Sequence[str] = OUTPUT_KEY) -> DataFrame:
+def unreported_changes(observations: DataFrame, fps: DataFrame) -> DataFrame:
     """Bytes nobody reported: the observation matches nothing on record, so the author is unknown."""
     kind = change_kind(F.col("standing_schema"), F.col("standing_content"), F.col("schema_fp"), F.col("content_fp"))
-    decided = resolve(classify(observations, fps), key).filter(F.col("verdict") == "unknown")
-    return decided.withColumn("kind", kind).select(*key, "kind", "schema_fp", "content_fp")
+    decided = resolve(observations, fps).filter(F.col("verdict") == "unknown")
+    return decided.withColumn("kind", kind).select(*OUTPUT_KEY, "kind", "schema_fp", "content_fp")
 
 
 def superseded_marks(observations: DataFrame, fps: DataFrame) -> DataFrame:
     """The mark a task earns by finishing on an input that was replaced while it ran."""
-    decided = resolve(classify(observations, fps), OUTPUT_KEY)
+    decided = resolve(observations, fps)
     late = decided.filter(F.col("verdict").startswith("superseded"))
     kind = change_kind(F.col("schema_fp"), F.col("content_fp"), F.col("standing_schema"), F.col("standing_content"))
     return late.select(
@@ -314,7 +345,7 @@ def superseded_marks(observations: DataFrame, fps: DataFrame) -> DataFrame:
 
 def outside_verdicts(seen: DataFrame, fps: DataFrame) -> DataFrame:
     """The four verdicts for tables an outsider observed, `seen` being (flow, dataset, fingerprints)."""
-    decided = resolve(classify(seen, fps), ["flow", "dataset"])
+    decided = resolve(seen, fps)
     kind = change_kind(F.col("standing_schema"), F.col("standing_content"), F.col("schema_fp"), F.col("content_fp"))
     said = F.when(F.col("verdict") == "unknown", "changed").otherwise(F.split_part("verdict", F.lit("-"), F.lit(1)))
     named = decided.select(

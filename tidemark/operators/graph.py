@@ -49,21 +49,26 @@ def external_inputs(reads: DataFrame, writes: DataFrame) -> DataFrame:
 
 
 def every_writer(
-    reads: DataFrame, writes: DataFrame, tasks: DataFrame, holds: Column, when_none: bool
+    reads: DataFrame, writes: DataFrame, tasks: DataFrame, holds: Column, when_none: bool, but_self: bool = False
 ) -> DataFrame:
-    """Per read, whether `holds` is true of every task writing it.
+    """Per read, whether `holds` (over `status`) is true of every task writing the table.
 
-    `holds` is over the writer's columns `w_task` and `w_status` and the reader's `task`. A read
-    nobody writes answers `when_none`, because "every" over nothing has to be decided, not left null.
+    The writers are reduced to one row per table before the reads meet them, so a table with many
+    writers and many readers costs their sum and not their product. A read nobody writes answers
+    `when_none`, because "every" over nothing has to be decided, not left null. With `but_self` the
+    reader's own failing does not count against it.
     """
-    writer = writes.join(tasks.select("flow", "task", "status"), ["flow", "task"]).select(
-        "flow", "dataset", F.col("task").alias("w_task"), F.col("status").alias("w_status")
+    fails = ~F.coalesce(holds, F.lit(False))
+    failing = (
+        writes.join(tasks.select("flow", "task", "status"), ["flow", "task"])
+        .groupBy("flow", "dataset")
+        .agg(F.count_if(fails).alias("failing"), F.min(F.when(fails, F.col("task"))).alias("one_failing"))
     )
-    met = F.when(F.col("w_task").isNull(), F.lit(when_none)).otherwise(F.coalesce(holds, F.lit(False)))
-    return (
-        reads.join(writer, ["flow", "dataset"], "left")
-        .groupBy("flow", "task", "dataset")
-        .agg(F.bool_and(met).alias("met"))
+    clear = F.col("failing") == 0
+    if but_self:
+        clear = clear | ((F.col("failing") == 1) & (F.col("one_failing") == F.col("task")))
+    return reads.join(failing, ["flow", "dataset"], "left").select(
+        "flow", "task", "dataset", F.when(F.col("failing").isNull(), F.lit(when_none)).otherwise(clear).alias("met")
     )
 
 
@@ -188,48 +193,70 @@ def neighbours(reads: DataFrame, writes: DataFrame) -> DataFrame:
 # -- orders ------------------------------------------------------------------------------------
 
 
-def waits_for(nodes: DataFrame, reads: DataFrame, writes: DataFrame, last_writer: bool = False) -> DataFrame:
-    """Task-to-task edges among `nodes` by way of a shared dataset; self-edges dropped.
+def waits_for(
+    nodes: DataFrame, reads: DataFrame, writes: DataFrame, last_writer: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """What each of `nodes` waits on, and who feeds it: (flow, task, gate) and (flow, gate, task).
 
-    One row per (task, dataset it still waits on) would be enough to block a task, so the edge kept
-    is (reader, writer) pairs already joined through their dataset and made distinct.
+    A gate is a table that some node writes. Going through it keeps a table with many writers and
+    many readers at their sum. A task that reads a table it also writes does not wait for itself: it
+    gets a gate of its own, fed by the other writers. When two such tasks share a table they wait
+    for each other anyway, so the table's own gate says the same without a gate per task.
+    With `last_writer` only the last writer of a table in name order counts as its producer, which
+    is how a board is drawn and never how work is ordered.
     """
     inside = nodes.select("flow", "task")
-    wrote = writes.join(inside, ["flow", "task"], "left_semi")
+    feeds = writes.join(inside, ["flow", "task"], "left_semi").select("flow", "dataset", "task").distinct()
     if last_writer:
-        wrote = writes.groupBy("flow", "dataset").agg(F.max_by("task", F.struct("board_pos", "ord")).alias("task"))
-    before = wrote.select("flow", "dataset", F.col("task").alias("before"))
-    return (
-        reads.join(inside, ["flow", "task"], "left_semi")
-        .join(before, ["flow", "dataset"])
-        .filter(F.col("task") != F.col("before"))
-        .select("flow", "task", "before")
-        .distinct()
+        feeds = feeds.groupBy("flow", "dataset").agg(F.max("task").alias("task"))
+    wanted = reads.join(inside, ["flow", "task"], "left_semi").join(
+        feeds.select("flow", "dataset").distinct(), ["flow", "dataset"], "left_semi"
+    ).select("flow", "task", "dataset")
+    both = feeds.join(wanted, ["flow", "dataset", "task"], "left_semi")
+    lone = (
+        both.groupBy("flow", "dataset")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("task").alias("own"))
+        .filter(F.col("n") == 1)
+        .select("flow", "dataset", "own")
+    )
+    own_gate = F.concat("dataset", F.lit("\u0001"), "own")
+    mine = F.col("own") == F.col("task")
+    waits = wanted.join(lone, ["flow", "dataset"], "left").select(
+        "flow", "task", F.when(mine, own_gate).otherwise(F.col("dataset")).alias("gate")
     )
+    others = feeds.join(lone, ["flow", "dataset"]).filter(~mine).select("flow", own_gate.alias("gate"), "task")
+    return waits, feeds.withColumnRenamed("dataset", "gate").unionByName(others)
 
 
-def layers(nodes: DataFrame, edges: DataFrame, part: Sequence[str] = ("flow",)) -> DataFrame:
+def layers(nodes: DataFrame, waits: DataFrame, feeds: DataFrame) -> DataFrame:
     """Kahn layering: each node's wave, and null for what no order can place (a cycle or behind one).
 
-    `nodes` holds `part` and `task`; `edges` holds `part`, `task` and `before`. A round places every
-    node all of whose predecessors are placed: the newly placed are joined to their successors, and
-    a successor is kept when it has no unplaced predecessor left.
+    `waits` is (flow, task, gate) and `feeds` (flow, gate, task): a node is placed once every task
+    feeding every gate it waits on is placed. A round looks only at nodes behind the gates that the
+    last round's nodes feed, and keeps those with no gate still fed by an unplaced task.
     """
-    part = list(part)
-    after = EdgeIndex(edges.select(*part, "before", "task"), [*part, "before"], ["task"])
-    into = EdgeIndex(edges.select(*part, "task", "before"), [*part, "task"], ["before"])
-    key = [*part, "task"]
-    first = nodes.select(*key).distinct().join(edges.select(*key), key, "left_anti")
+    key = ["flow", "task"]
+    gate = ["flow", "gate"]
+    scratch = Scratch(nodes.sparkSession, "gates")
+    feeds, fed = scratch.write(feeds.distinct(), "feeds")
+    waits, waiting = scratch.write(waits.join(feeds, gate, "left_semi").distinct(), "waits")
+    out = EdgeIndex(feeds, key, ["gate"], rows=fed)
+    behind = EdgeIndex(waits, gate, ["task"], rows=waiting)
+    ahead = EdgeIndex(waits, key, ["gate"], rows=waiting)
+    into = EdgeIndex(feeds, gate, ["task"], rows=fed)
+    first = nodes.select(*key).distinct().join(waits.select(*key), key, "left_anti")
 
     def step(frontier: DataFrame, placed: DataFrame, _n: int) -> DataFrame:
-        touched = after.probe(frontier.select(*part, F.col("task").alias("before"))).select(*key).distinct()
-        done = placed.select(*part, F.col("task").alias("before"))
-        open_edges = into.probe(touched).join(done, [*part, "before"], "left_anti").select(*key)
-        return touched.join(open_edges, key, "left_anti")
+        passed = out.probe(frontier.select(*key)).select(*gate).distinct()
+        touched = behind.probe(passed).select(*key).distinct()
+        needed = ahead.probe(touched)
+        shut = into.probe(needed.select(*gate).distinct()).join(placed.select(*key), key, "left_anti").select(*gate)
+        held = needed.join(shut.distinct(), gate, "left_semi").select(*key)
+        return touched.join(held, key, "left_anti")
 
     placed = grow(first, step, key, None, "layers")
-    after.release()
-    into.release()
+    for index in (out, behind, ahead, into):
+        index.release()
     return nodes.select(*key).distinct().join(placed, key, "left").withColumnRenamed("round", "wave")
 
 
@@ -249,15 +276,14 @@ def display_layers(waves: DataFrame) -> DataFrame:
 def rerun_waves(tasks: DataFrame, reads: DataFrame, writes: DataFrame) -> DataFrame:
     """The order flagged work is redone in: waves over flagged tasks only, null when cyclic."""
     flagged = tasks.filter(F.col("status") == "stale").select("flow", "task")
-    return layers(flagged, waits_for(flagged, reads, writes))
+    return layers(flagged, *waits_for(flagged, reads, writes))
 
 
 def startable_now(waves: DataFrame, tasks: DataFrame, reads: DataFrame, writes: DataFrame) -> DataFrame:
     """First-wave tasks every one of whose inputs is settled, the task itself counting as settled."""
     first = waves.filter(F.col("wave") == 0).select("flow", "task")
     mine = reads.join(first, ["flow", "task"], "left_semi")
-    settled = F.col("w_status").isin(*FINISHED) | (F.col("w_task") == F.col("task"))
-    waiting = every_writer(mine, writes, tasks, settled, True).filter(~F.col("met"))
+    waiting = every_writer(mine, writes, tasks, F.col("status").isin(*FINISHED), True, but_self=True).filter(~F.col("met"))
     return first.join(waiting.select("flow", "task"), ["flow", "task"], "left_anti")
 
 
@@ -285,7 +311,3 @@ def cascade_edges(reads: DataFrame, writes: DataFrame, causes: DataFrame) -> Dat
         "flow", "origin", F.col("task").alias("src"), F.col("dataset").alias("dst"), "hops"
     )
     return into.unionByName(out)
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    return Scratch(df.sparkSession, label).write(df, "t")[0]

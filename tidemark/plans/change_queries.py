@@ -203,7 +203,7 @@ def _(e):
 
 @query("o2_resolve_verdicts", "SELECT flow, task, dataset, writer, verdict FROM {decided}", **SEEN)
 def _(e):
-    return C.resolve(C.classify(e.observations, e.fps), C.OUTPUT_KEY).select("flow", "task", "dataset", "writer", "verdict")
+    return C.resolve(e.observations, e.fps).select("flow", "task", "dataset", "writer", "verdict")
 
 
 @query(

@@ -74,7 +74,7 @@ def _(e):
        LEFT JOIN {tasks} t ON t.flow = w.flow AND t.task = w.task GROUP BY ALL""",
 )
 def _(e):
-    met = G.every_writer(e.reads, e.writes, e.tasks, F.col("w_status").isin(*G.FINISHED), True)
+    met = G.every_writer(e.reads, e.writes, e.tasks, F.col("status").isin(*G.FINISHED), True)
     return met.withColumn("met", F.col("met").cast("int"))
 
 
@@ -166,7 +166,7 @@ def _(e):
 def _(e):
     # First outputs only: order by the older table always, so the order is complete.
     nodes = e.tasks.select("flow", "task")
-    return G.layers(nodes, G.waits_for(nodes, e.reads, e.writes.filter("ord = 0")))
+    return G.layers(nodes, *G.waits_for(nodes, e.reads, e.writes.filter("ord = 0")))
 
 
 #: Waves by counting rounds: a flagged task is placed once nothing unplaced comes before it.
@@ -194,9 +194,25 @@ def _(e):
     return G.rerun_waves(e.tasks, e.reads, e.writes)
 
 
-@query("g14_cyclic_remainder", "SELECT flow, task FROM {waves} WHERE wave IS NULL", **FLAGGED)
+#: The reads with feedback: some tasks also read what their own readers write.
+LOOPED = {
+    **FLAGGED,
+    "reads": """
+        SELECT DISTINCT flow, 't:' || k AS task, 'd:' || d AS dataset FROM {line_reads}
+        UNION SELECT flow, 't:' || d AS task, 'd:' || k AS dataset FROM {line_reads} WHERE line = 2 AND returnflag = 'R'""",
+}
+
+
+@query("g14_cyclic_remainder", "SELECT flow, task FROM {waves} WHERE wave IS NULL", **LOOPED)
+def _(e):
+    back = e.line_reads.filter("line = 2 AND returnflag = 'R'").selectExpr("flow", "'t:' || d AS task", "'d:' || k AS dataset")
+    return G.cyclic(G.rerun_waves(e.tasks, e.reads.union(back).distinct(), e.writes))
+
+
+@query("g11_display_layers", "SELECT flow, task, coalesce(wave, (SELECT max(x.wave) FROM {waves} x WHERE x.flow = v.flow) + 1) AS layer FROM {waves} v", **LOOPED)
 def _(e):
-    return G.cyclic(G.rerun_waves(e.tasks, e.reads, e.writes))
+    back = e.line_reads.filter("line = 2 AND returnflag = 'R'").selectExpr("flow", "'t:' || d AS task", "'d:' || k AS dataset")
+    return G.display_layers(G.rerun_waves(e.tasks, e.reads.union(back).distinct(), e.writes))
 
 
 STARTABLE = """
