@@ -84,8 +84,8 @@ def cell_key(column: Column, kind: T.DataType) -> Column:
         wide = column.cast("double")
         whole = (wide == F.floor(wide)) & (F.abs(wide) <= EXACT_INTEGER)
         text = F.when(whole, wide.cast("long").cast("string")).otherwise(wide.cast("string"))
-    elif isinstance(kind, T.TimestampType | T.TimestampNTZType):
-        text = F.unix_micros(column.cast("timestamp")).cast("string")
+    elif isinstance(kind, T.TimestampType):
+        text = F.unix_micros(column).cast("string")
     elif isinstance(kind, T.ArrayType):
         element = kind.elementType
         text = F.concat(

@@ -43,7 +43,7 @@ def key_sql(column: str, kind: str) -> str:
         "n": f"CAST({column} AS VARCHAR)",
         "d": digits(column),
         "s": f"CAST(length({column}) AS VARCHAR) || ':' || {column}",
-        "t": f"CAST(epoch_us({column}) AS VARCHAR)",
+        "t": f"CAST({column} AS VARCHAR)",
     }[kind]
     return f"coalesce({shown}, 'null')"
 
