@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.graph import FINISHED, every_writer, layers
+from tidemark.session import Scratch
 
 STALE_TAG = "stale_work"
 
@@ -41,7 +42,10 @@ def restored_by(
     is "cleared after every unsettled writer it reads from is cleared", which is the layering of
     the candidates behind the tables those writers feed; a cycle is never cleared.
     """
-    live = firing(decisions, causes, unchanged).select("flow", "finishing")
+    scratch = Scratch(tasks.sparkSession, "restore")
+    live, fired = scratch.write(firing(decisions, causes, unchanged).select("flow", "finishing"), "live")
+    if not fired:
+        return tasks.select("flow", "task", F.lit(0).alias("wave")).limit(0)
     moved = (
         writes.join(live, (writes.flow == live.flow) & (writes.task == live.finishing), "left_semi")
         .select("flow", "dataset")
@@ -70,6 +74,8 @@ def restored_by(
         .join(noticed, ["flow", "task", "dataset"], "left")
         .withColumn("settled", (F.col("task") == F.col("finishing")) | (F.col("status") == "complete"))
     )
+    wrote, _ = scratch.write(wrote, "wrote")
+    candidates, _ = scratch.write(candidates, "candidates")
     # What every writer of a table has to satisfy, as one row per table.
     ground = wrote.groupBy("flow", "dataset").agg(
         F.max("wrote_at").alias("last_write"),
@@ -83,7 +89,9 @@ def restored_by(
     in_time = F.coalesce(F.col("last_write") <= F.col("read_at"), F.lit(False))
     doubted = F.coalesce("doubted", F.lit(False))
     sound = F.col("moved").isNull() & F.col("cited").isNull() & in_time & ~doubted
-    footing = footing.select("flow", "task", F.col("dataset").alias("gate"), sound.alias("sound"))
+    footing, _ = scratch.write(
+        footing.select("flow", "task", F.col("dataset").alias("gate"), sound.alias("sound")), "footing"
+    )
     hopeless = footing.filter(~F.col("sound")).select("flow", "task")
     nodes = candidates.select("flow", "task").join(hopeless, ["flow", "task"], "left_anti")
     waits = footing.drop("sound").join(nodes, ["flow", "task"], "left_semi")

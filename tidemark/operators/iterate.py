@@ -13,6 +13,9 @@ from tidemark.session import Scratch
 #: Above this many edges on one key, the key's edges are spread over several partitions.
 HOT_KEY_EDGES = 250_000
 
+#: Held edges per partition, so the layout grows with the edges and not with a session setting.
+EDGES_PER_PARTITION = 2_000_000
+
 
 def grow(
     seed: DataFrame,
@@ -87,7 +90,8 @@ class EdgeIndex:
                     edges.join(self.heavy, self.key, "left").withColumn("_salt", salt).drop("_fan")
                 )
                 self.on = [*self.key, "_salt"]
-            parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+            configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
+            parts = max(configured, -(-rows // EDGES_PER_PARTITION))
             edges = edges.repartition(parts, *self.on).persist(StorageLevel.MEMORY_AND_DISK)
             self.held = True
         self.edges = edges

@@ -1,8 +1,10 @@
 """State as versioned Parquet tables with one commit marker per micro-batch.
 
 A version's tables are written first and its marker last, so a reader sees a whole version or the
-one before it, and a batch replayed after a lost driver finds its marker and does nothing. All of it
-lives in a folder every executor reaches.
+one before it, and a batch replayed after a lost driver finds its marker and does nothing. A marker
+names the folders every table is read from: a batch writes the tables it changed and the rows it
+appended, and what it left alone stays where it was. All of it lives in a folder every executor
+reaches.
 """
 
 from __future__ import annotations
@@ -11,6 +13,9 @@ import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+MARK = "batch LONG, name STRING, folder STRING"
 
 
 class VersionedTables:
@@ -18,28 +23,46 @@ class VersionedTables:
         self.spark = spark
         self.root = root
 
-    def head(self) -> tuple[int, str] | None:
-        """The last committed batch and the folder its tables are in."""
+    def _marks(self) -> DataFrame | None:
         try:
-            marks = self.spark.read.schema("batch LONG, folder STRING").parquet(f"{self.root}/commits/*")
+            return self.spark.read.schema(MARK).parquet(f"{self.root}/commits/*")
         except AnalysisException:
             return None
-        last = marks.orderBy("batch", ascending=False).first()
-        return (last["batch"], last["folder"]) if last else None
+
+    def head(self) -> int | None:
+        """The last committed batch."""
+        marks = self._marks()
+        return None if marks is None else marks.agg(F.max("batch")).first()[0]
+
+    def folders(self) -> dict[str, list[str]]:
+        """Where the last version's tables are; one folder each, more for a table appended to."""
+        head = self.head()
+        found: dict[str, list[str]] = {}
+        if head is not None:
+            for row in self._marks().filter(F.col("batch") == head).collect():
+                found.setdefault(row["name"], []).append(row["folder"])
+        return found
 
     def done(self, batch: int) -> bool:
         head = self.head()
-        return head is not None and head[0] >= batch
+        return head is not None and head >= batch
 
     def read(self, name: str) -> DataFrame:
-        head = self.head()
-        if head is None:
-            raise LookupError(f"nothing is committed under {self.root}")
-        return self.spark.read.parquet(f"{head[1]}/{name}")
-
-    def commit(self, batch: int, tables: dict[str, DataFrame]) -> None:
-        folder = f"{self.root}/versions/{batch}-{uuid.uuid4().hex}"
-        for name, df in tables.items():
-            df.write.parquet(f"{folder}/{name}")
-        mark = self.spark.createDataFrame([(batch, folder)], "batch LONG, folder STRING")
-        mark.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/commits/{batch}")
+        folders = self.folders().get(name)
+        if not folders:
+            raise LookupError(f"no {name} is committed under {self.root}")
+        return self.spark.read.parquet(*folders)
+
+    def commit(
+        self, batch: int, replaced: dict[str, DataFrame], appended: dict[str, DataFrame] | None = None
+    ) -> None:
+        appended = appended or {}
+        now = self.folders()
+        base = f"{self.root}/versions/{batch}-{uuid.uuid4().hex}"
+        for name, df in {**replaced, **appended}.items():
+            df.write.parquet(f"{base}/{name}")
+            before = now.get(name, []) if name in appended else []
+            now[name] = [*before, f"{base}/{name}"]
+        rows = [(batch, name, folder) for name, folders in now.items() for folder in folders]
+        mark = self.spark.createDataFrame(rows, MARK).coalesce(1)
+        mark.write.mode("overwrite").parquet(f"{self.root}/commits/{batch}")
