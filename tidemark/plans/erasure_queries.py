@@ -473,3 +473,53 @@ def filed_report(states):
 def _(e):
     now = materialize(V.states(V.derive(evidence(e))), "states")
     return A.compare_reports(filed_report(now), now)
+
+
+# -- record shapes -----------------------------------------------------------------------------
+
+
+@query(
+    "a1_a2_record_shapes",
+    """SELECT att_id, CASE
+         WHEN seq = 6 THEN 'missing required fields: attestor'
+         WHEN seq = 7 AND kind = 'direct' THEN 'kind is neither direct nor rebuild'
+         WHEN kind = 'direct' THEN CASE WHEN seq = 5 THEN 'result is neither absent nor present' WHEN seq = 4 THEN 'predicate names no identifiers'
+           WHEN seq = 3 THEN 'predicate has no expression' WHEN scope_kind = 'partitions' AND seq = 2 THEN 'partition scope names no partitions'
+           WHEN scope_kind = 'partitions' AND seq = 1 THEN 'partition scope has no positive total' END
+         ELSE CASE WHEN materialization = 'append' THEN 'materialization is not one of full, merge, append, partition' WHEN seq = 1 THEN 'soleProducer is not stated'
+           WHEN seq = 2 THEN 'no inputs array' WHEN seq = 4 THEN 'an input names no asset' WHEN seq = 3 THEN 'an input names no version' END END AS problem
+       FROM {attestations}""",
+)
+def _(e):
+    """Signed payloads as they would arrive, a good part of them damaged, parsed and judged."""
+    seq, direct = F.col("seq"), F.col("kind") == "direct"
+    text = lambda value, bad: F.when(bad, F.lit("")).otherwise(value)
+    some = F.array(F.lit("cust"))
+    predicate = F.struct(
+        F.when(seq == 4, F.array().cast("array<string>")).otherwise(some).alias("identifiers"),
+        text(F.lit("id = 'cust'"), seq == 3).alias("expression"),
+        F.array(F.lit("id")).alias("columns"),
+    )
+    scope = F.struct(
+        F.col("scope_kind").alias("kind"),
+        F.when(seq != 2, F.array(F.lit("p1"))).alias("covered"),
+        F.when(seq == 1, 0).otherwise(F.col("scope_total")).alias("total"),
+    )
+    inputs = F.array(F.struct(text(F.col("asset"), seq == 4).alias("asset"), text(F.lit("v1"), seq == 3).alias("version")))
+    record = F.struct(
+        F.when((seq == 7) & direct, "other").otherwise(F.col("kind")).alias("kind"),
+        "request",
+        "asset",
+        "version",
+        text(F.col("attestor"), seq == 6).alias("attestor"),
+        F.col("at").cast("string").alias("at"),
+        F.concat(F.lit("n:"), "att_id").alias("nonce"),
+        F.when(direct, F.when(seq == 5, "maybe").otherwise(F.col("result"))).alias("result"),
+        F.when(direct, predicate).alias("predicate"),
+        F.when(direct, scope).alias("scope"),
+        F.when(F.col("materialization") == "append", "fresh").otherwise(F.col("materialization")).alias("materialization"),
+        F.when(seq != 1, F.col("sole_producer") == 1).alias("soleProducer"),
+        F.when(~direct & (seq != 2), inputs).alias("inputs"),
+    )
+    arrived = e.attestations.select("att_id", F.base64(F.to_json(record).cast("binary")).alias("payload"))
+    return A.envelope_shapes(arrived, "payload").select("att_id", "problem")

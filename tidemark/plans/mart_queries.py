@@ -81,12 +81,6 @@ def labeled(e):
     return M.label_trips(trips(e), M.clean_zones(e.zones))
 
 
-def weeks(e):
-    marks = labeled(e)
-    parts = [M.borough_week(M.borough_mart(marks, [b]), b) for b in BOROUGHS]
-    return M.stack([*parts, M.borough_week(M.borough_mart(marks, BOROUGHS, inside=False), "Other")])
-
-
 @query("p1_clean_orders", doubles("clean", "order_total"), **BUILT)
 def _(e):
     return plain(M.clean_orders(e.raw_orders))
@@ -155,8 +149,7 @@ def _(e):
 
 @query("p12_borough_marts", f"SELECT borough, pickup_date, trips, CAST(fares_total AS DOUBLE) AS fares_total, CAST(tips_total AS DOUBLE) AS tips_total FROM {{marts}} WHERE borough <> 'Other'", **BUILT)
 def _(e):
-    marks = labeled(e)
-    return M.stack([plain(M.borough_mart(marks, [b])).withColumn("borough", F.lit(b)) for b in BOROUGHS])
+    return plain(M.borough_marts(labeled(e), BOROUGHS)).filter("borough <> 'Other'")
 
 
 @query("p13_borough_mart_other", "SELECT pickup_date, trips, CAST(fares_total AS DOUBLE) AS fares_total, CAST(tips_total AS DOUBLE) AS tips_total FROM {marts} WHERE borough = 'Other'", **BUILT)
@@ -164,9 +157,21 @@ def _(e):
     return plain(M.borough_mart(labeled(e), BOROUGHS, inside=False))
 
 
+@query("p14_borough_week", "SELECT * FROM {weeks} WHERE borough = 'ASIA'", **BUILT)
+def _(e):
+    return M.borough_week(M.borough_mart(labeled(e), ["ASIA"]), "ASIA")
+
+
 @query("p14_p15_borough_weeks", "SELECT * FROM {weeks} ORDER BY borough", **BUILT)
 def _(e):
-    return weeks(e).orderBy("borough")
+    return M.borough_weeks(M.borough_marts(labeled(e), BOROUGHS)).orderBy("borough")
+
+
+@query("p15_stacked_weeks", "SELECT * FROM {weeks} WHERE borough IN ('ASIA', 'Other')", **BUILT)
+def _(e):
+    marks = labeled(e)
+    inside = M.borough_week(M.borough_mart(marks, ["ASIA"]), "ASIA")
+    return M.stack([inside, M.borough_week(M.borough_mart(marks, BOROUGHS, inside=False), "Other")])
 
 
 @query(

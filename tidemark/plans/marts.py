@@ -168,6 +168,26 @@ def borough_mart(labeled: DataFrame, boroughs: Sequence[str], inside: bool = Tru
     )
 
 
+def borough_marts(labeled: DataFrame, boroughs: Sequence[str], other: str = "Other") -> DataFrame:
+    """Every borough's mart in one pass over the journeys; what is in none of them is `other`."""
+    named = F.when(F.col("pickup_borough").isin(*boroughs), F.col("pickup_borough")).otherwise(other)
+    return labeled.groupBy(named.alias("borough"), "pickup_date").agg(
+        F.count(F.lit(1)).alias("trips"),
+        F.sum("fare_amount").alias("fares_total"),
+        F.sum("tip_amount").alias("tips_total"),
+    )
+
+
+def borough_weeks(marts: DataFrame) -> DataFrame:
+    """Every borough's one-row rollup, in one pass over the marts."""
+    return marts.groupBy("borough").agg(
+        F.sum("trips").alias("trips"),
+        total("fares_total").alias("fares_total"),
+        total("tips_total").alias("tips_total"),
+        earliest_best("pickup_date", "trips").alias("busiest_date"),
+    )
+
+
 def borough_week(mart: DataFrame, label: str) -> DataFrame:
     return mart.agg(
         F.lit(label).alias("borough"),
