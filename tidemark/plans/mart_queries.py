@@ -282,10 +282,10 @@ def _(e):
 @query("p30_rename_is_schema_only", "SELECT 'schema' AS kind, (SELECT count(*) FROM {dt}) AS row_count", **BUILT)
 def _(e):
     before = M.daily_trips(trips(e))
-    was = fingerprint(before, "daily_trips").select(F.col("schema_fp").alias("s"), F.col("content_fp").alias("c"))
+    was = fingerprint(before, "daily_trips").select("dataset", F.col("schema_fp").alias("s"), F.col("content_fp").alias("c"))
     now = fingerprint(M.rename_change(before, "riders", "passengers"), "daily_trips")
     kind = change_kind(F.col("s"), F.col("c"), F.col("schema_fp"), F.col("content_fp"))
-    return now.crossJoin(was).select(kind.alias("kind"), "row_count")
+    return now.join(was, "dataset").select(kind.alias("kind"), "row_count")
 
 
 @query(

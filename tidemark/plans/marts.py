@@ -29,6 +29,12 @@ def total(name: str) -> Column:
     return F.sum(name).cast("double")
 
 
+def side_by_side(*rows: DataFrame) -> DataFrame:
+    """One-row frames as one row: stacked, then each column's one value picked. No cross join."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+    return stacked.agg(*[F.max(name).alias(name) for name in stacked.columns])
+
+
 def one_of(values: Column, codes: Mapping[int, str]) -> Column:
     table = F.create_map(*[F.lit(x) for pair in codes.items() for x in pair])
     return table[values]
@@ -203,7 +209,7 @@ def stack(tables: Sequence[DataFrame]) -> DataFrame:
 
 
 def city_week(daily: DataFrame, lengths: DataFrame) -> DataFrame:
-    """One row from two sources; both sides of the cross join are single aggregate rows."""
+    """One row from two sources."""
     days = daily.agg(
         F.sum("trips").alias("trips"),
         F.sum("riders").alias("riders"),
@@ -211,7 +217,7 @@ def city_week(daily: DataFrame, lengths: DataFrame) -> DataFrame:
         F.round(F.sum("total_fares"), 2).alias("total_fares"),
     )
     far = lengths.agg(F.sum(F.when(F.col("bucket") == "long", F.col("trips")).otherwise(0)).alias("n"), F.sum("trips").alias("d"))
-    return days.crossJoin(far.select(half_up(F.col("n"), F.col("d"), 4).alias("long_trip_share")))
+    return side_by_side(days, far.select(half_up(F.col("n"), F.col("d"), 4).alias("long_trip_share")))
 
 
 def fare_summary(daily: DataFrame, mix: DataFrame) -> DataFrame:
@@ -236,7 +242,7 @@ def revenue_overview(fares: DataFrame, tips: DataFrame) -> DataFrame:
     best = tips.agg(
         earliest_best("payment_label", "tip_rate").alias("best_tip_payment"), F.max("tip_rate").alias("best_tip_rate")
     )
-    return week.crossJoin(best)
+    return side_by_side(week, best)
 
 
 def cross_borough(labeled: DataFrame) -> DataFrame:
@@ -267,7 +273,7 @@ def movement_summary(flows: DataFrame, leaders: DataFrame, dropoffs: DataFrame)
     )
     zone = leaders.filter("rank = 1").agg(F.max("zone_name").alias("busiest_zone"), F.max("trips").alias("busiest_zone_trips"))
     ended = dropoffs.agg(earliest_best("dropoff_borough", "trips").alias("top_dropoff_borough"))
-    return top.crossJoin(zone).crossJoin(ended)
+    return side_by_side(top, zone, ended)
 
 
 def weekday_profile(daily: DataFrame, riders: str = "riders") -> DataFrame:
@@ -293,7 +299,7 @@ def rider_overview(weekdays: DataFrame, hours: DataFrame) -> DataFrame:
         F.min_by("weekday", F.struct(-F.col("trips"), place)).alias("busiest_weekday"), F.sum("riders").alias("riders_week")
     )
     peak = hours.agg(earliest_best("pickup_hour", "trips").alias("busiest_hour"), F.max("trips").alias("trips_at_peak_hour"))
-    return days.crossJoin(peak)
+    return side_by_side(days, peak)
 
 
 def touching(labeled: DataFrame, word: str = "Airport") -> DataFrame:
