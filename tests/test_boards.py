@@ -85,7 +85,14 @@ def walk(board, origin, exclude=()):
     return found
 
 
-def test_cascade_matches_one_walk_per_change(spark, world):
+@pytest.fixture(params=["few edges", "split edges"])
+def layout(request, monkeypatch):
+    """Every loop gives the same answer when its edges are held and their keys split."""
+    if request.param == "split edges":
+        monkeypatch.setattr(iterate, "HOT_KEY_EDGES", 1)
+
+
+def test_cascade_matches_one_walk_per_change(spark, world, layout):
     changes = [(flow, f"d{i:02d}", "content", 0) for flow in BOARDS for i in (0, 3, 7)]
     excluded = [(flow, "t01") for flow in BOARDS]
     df = spark.createDataFrame(changes, "flow STRING, dataset STRING, kind STRING, unreported INT")
@@ -100,7 +107,7 @@ def test_cascade_matches_one_walk_per_change(spark, world):
     assert have == want
 
 
-def test_rerun_waves_and_cycles(world):
+def test_rerun_waves_and_cycles(world, layout):
     got = {(r.flow, r.task): r.wave for r in G.rerun_waves(world["tasks"], world["reads"], world["writes"]).collect()}
     want = {}
     for flow, board in BOARDS.items():

@@ -63,10 +63,11 @@ class EdgeIndex:
         edges: DataFrame,
         key: Sequence[str],
         spread: Sequence[str],
-        hot: int = HOT_KEY_EDGES,
+        hot: int | None = None,
         rows: int | None = None,
     ):
         """`rows` is given when `edges` is a scratch table already, with its row count."""
+        hot = HOT_KEY_EDGES if hot is None else hot
         self.on = self.key = list(key)
         spark = edges.sparkSession
         scratch = Scratch(spark, "edges")
