@@ -16,8 +16,8 @@ from tidemark.session import Scratch
 #: Bytes of a repeat, and of the gram whose least hash anchors a window.
 LENGTH, GRAM = 100, 24
 
-#: Bytes transformed together, about, and segments of one anchor at most in a block.
-BLOCK, MOST_SEGMENTS = 1 << 20, 2000
+#: Bytes transformed together, about, and segments of one anchor at most in a block (2 MB of text at most).
+BLOCK, MOST_SEGMENTS = 1 << 20, 8000
 
 #: Longest stretch of a text hashed at once.
 PIECE = 1 << 20
