@@ -188,9 +188,12 @@ def fit(docs: DataFrame, max_docs: int = TRAIN_DOCS, max_chars: int = TRAIN_CHAR
     if not langs:
         return Model((), np.zeros((FEATURES, 0), np.float32), np.zeros((0, 0)), np.zeros(0), np.zeros(0, np.uint64))
     short = rows.filter(F.length("text") <= max_chars)
-    got = []
+    ids = None
     for lang in langs:
-        got += bounded_sample(short.filter(F.col("lang") == lang), "doc_id", max(1, max_docs // len(langs))).collect()
+        # Only ids are ordered, so no task sends texts to the driver that are not picked.
+        some = bounded_sample(short.filter(F.col("lang") == lang).select("doc_id", "lang"), "doc_id", max(1, max_docs // len(langs)))
+        ids = some if ids is None else ids.union(some)
+    got = sorted(short.join(F.broadcast(ids.distinct()), ["doc_id", "lang"]).collect(), key=lambda r: (r.doc_id, r.text))
     texts = [split_words(r.text.encode()) for r in got]
     use = [i for i, t in enumerate(texts) if t]
     return train([texts[i] for i in use], [langs.index(got[i].lang) for i in use], langs)
