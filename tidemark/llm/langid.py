@@ -237,7 +237,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return keyed_texts(docs).mapInArrow(run, "doc_id long, lang_pred string, score double, n_words long")
 
 
-def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.3) -> DataFrame:
     """`docs` without the documents that are `und`, or in which no language holds `min_score` of the words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
