@@ -353,3 +353,14 @@ def test_every_residue_kind_has_words_that_do_not_name_it(spark):
     for r in kinds.select("kind", X.residue_sentence(F.col("kind"), F.col("detail"), F.lit("customers")).alias("s")).collect():
         assert len(r.s) > 10 and r.kind not in r.s
         assert "clean" not in r.s and "%" not in r.s and "proof" not in r.s
+
+
+def test_reach_honours_each_requests_own_bound(spark):
+    from tidemark.operators.graph import reach
+
+    name = lambda i: f"urn:li:dataset:n{i}"
+    chain = spark.createDataFrame([(name(i), name(i + 1)) for i in range(8)], "upstream string, downstream string")
+    seeds = spark.createDataFrame([(r, name(0)) for r in ("six", "one", "none", "absent")], "request string, asset string")
+    hops = spark.createDataFrame([("six", 6), ("one", 1), ("none", None)], "request string, hops int")
+    got = {r.request: r.far for r in reach(chain, seeds, hops).groupBy("request").agg({"hop": "max"}).toDF("request", "far").collect()}
+    assert got == {"six": 6, "one": 1, "none": 3, "absent": 3}

@@ -167,7 +167,8 @@ def test_bundle_is_rederived_and_tampering_shows(spark, tmp_path, name):
     (tmp_path / "b.json").write_text(json.dumps(tampered()[name]))
     bundles = U.read_bundles(spark, str(tmp_path)).cache()
     assert bundles.first().problem is None
-    again = V.states(V.derive(U.bundle_evidence(bundles)))
+    signed = U.filed_records(bundles).select("att_id", F.lit(1).alias("signature_valid"))
+    again = V.states(V.derive(U.bundle_evidence(bundles, signed)))
     got = {r.outcome for r in A.compare_reports(U.recorded_report(bundles), again).collect()}
     assert got == OUTCOMES[name]
     copied = A.copy_mismatches(U.filed_records(bundles)).collect()
@@ -177,6 +178,7 @@ def test_bundle_is_rederived_and_tampering_shows(spark, tmp_path, name):
 def test_unsigned_bundle_record_counts_for_nothing(spark, tmp_path):
     (tmp_path / "b.json").write_text(json.dumps(bundle()))
     bundles = U.read_bundles(spark, str(tmp_path))
+    assert {r.state for r in V.states(V.derive(U.bundle_evidence(bundles))).collect()} == {"UNPROVEN"}
     bad = U.filed_records(bundles).filter(F.col("filed_asset") == SEED).select("att_id", F.lit(0).alias("signature_valid"))
     good = U.filed_records(bundles).filter(F.col("filed_asset") != SEED).select("att_id", F.lit(1).alias("signature_valid"))
     got = {r.state for r in V.states(V.derive(U.bundle_evidence(bundles, bad.union(good)))).collect()}
@@ -229,3 +231,12 @@ def test_clean_orders_casing_and_dropped_rows(spark):
     )
     got = M.clean_orders(raw).collect()
     assert [(r.order_id, r.customer, str(r.order_date)) for r in got] == [(1, "Ben Ruiz", "2026-01-01")]
+
+
+def test_decimals_fingerprint_by_value_and_structs_by_field(spark):
+    from tidemark.functions.canon import cell_key
+
+    row = spark.sql("SELECT 217.00BD AS a, 217BD AS b, 10.50BD AS c, 100BD AS d, struct(1 AS x, '1' AS y) AS s, struct('1' AS x, 1 AS y) AS t")
+    kinds = {f.name: f.dataType for f in row.schema}
+    got = row.select(*[cell_key(F.col(n), k).alias(n) for n, k in kinds.items()]).first()
+    assert (got.a, got.b, got.c, got.d) == ("217", "217", "10.5", "100") and got.s != got.t

@@ -93,6 +93,10 @@ def cell_key(column: Column, kind: T.DataType) -> Column:
         )
     elif isinstance(kind, T.StringType):
         text = F.concat(F.length(column).cast("string"), F.lit(":"), column)
+    elif isinstance(kind, T.DecimalType):
+        text = F.regexp_replace(F.regexp_replace(column.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    elif isinstance(kind, T.StructType | T.MapType):
+        text = F.to_json(column)
     else:
         text = column.cast("string")
     return F.coalesce(text, F.lit("null"))

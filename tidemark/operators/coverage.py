@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.graph import lineage_edges
+from tidemark.operators.graph import DEFAULT_HOPS, lineage_edges
 from tidemark.operators.iterate import EdgeIndex, grow
 from tidemark.session import Scratch, materialize
 
@@ -461,7 +461,7 @@ def assurance(ev: Evidence, requests: DataFrame) -> DataFrame:
     records = filed.groupBy("request").agg(F.count(F.lit(1)).alias("filed"))
     drops = key_drops(filed, ev.keys).groupBy("request").agg(F.count(F.lit(1)).alias("dropped"))
     return (
-        requests.select("request", F.col("hops").alias("hops_walked"))
+        requests.select("request", F.coalesce("hops", F.lit(DEFAULT_HOPS)).alias("hops_walked"))
         .join(assets, "request", "left")
         .join(records, "request", "left")
         .join(drops, "request", "left")

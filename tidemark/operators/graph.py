@@ -139,25 +139,24 @@ def reach(lineage: DataFrame, seeds: DataFrame, hops: DataFrame | None = None, m
     """Assets downstream of each request's seeds within its hop bound, seeds at hop 0.
 
     `seeds` is (request, asset); `hops`, when given, is (request, hops) and bounds each request on
-    its own, within `max_hops`.
+    its own. `max_hops` bounds the requests that state no bound.
     """
     edges = lineage_edges(lineage).distinct().select(
         F.col("upstream").alias("asset"), F.col("downstream").alias("next")
     )
     index = EdgeIndex(edges, ["asset"], ["next"])
-    seed = seeds.select("request", "asset").distinct()
-    bound = ["request", "asset"]
+    seed = seeds.select("request", "asset").distinct().withColumn("bound", F.lit(max_hops))
     if hops is not None:
-        seed = seed.join(hops.select("request", F.col("hops").alias("bound")), "request")
-        bound.append("bound")
+        stated = hops.groupBy("request").agg(F.max("hops").alias("stated"))
+        seed = seed.join(stated, "request", "left").withColumn("bound", F.coalesce("stated", "bound")).drop("stated")
+    bound = ["request", "asset", "bound"]
 
+    # A request stops at its own bound, so the loop ends when the widest one has.
     def step(frontier: DataFrame, _seen: DataFrame, n: int) -> DataFrame:
-        if hops is not None:
-            frontier = frontier.filter(F.col("bound") >= n)
-        found = index.probe(frontier.select(*bound)).drop("asset")
+        found = index.probe(frontier.filter(F.col("bound") >= n).select(*bound)).drop("asset")
         return found.withColumnRenamed("next", "asset").select(*bound).distinct()
 
-    found = grow(seed, step, ["request", "asset"], max_hops, "reach")
+    found = grow(seed, step, ["request", "asset"], None, "reach")
     index.release()
     return found.select("request", "asset", F.col("round").alias("hop"))
 

@@ -221,7 +221,7 @@ def _(e):
 @query(
     "e19_assurance",
     """WITH f AS (SELECT a.* FROM {attestations} a SEMI JOIN {reached} r ON r.request = a.request AND r.asset = a.asset)
-       SELECT q.request, q.hops AS hops_walked, (SELECT count(*) FROM {reached} r WHERE r.request = q.request) AS assets_reached,
+       SELECT q.request, coalesce(q.hops, 3) AS hops_walked, (SELECT count(*) FROM {reached} r WHERE r.request = q.request) AS assets_reached,
               1 + (SELECT count(*) FROM f WHERE f.request = q.request) AS evidence_records,
               (SELECT count(*) FROM f JOIN {keys} k ON k.key_id = f.key_id WHERE f.request = q.request AND k.state = 'compromised') AS dropped_for_keys
        FROM {requests} q""",

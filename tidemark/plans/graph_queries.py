@@ -121,9 +121,9 @@ REACHED = {
     "table_edges": "SELECT DISTINCT upstream, downstream FROM {lineage} WHERE starts_with(downstream, 'urn:li:dataset:') AND starts_with(upstream, 'urn:li:dataset:')",
     "reached": """
         SELECT request, asset, min(hop) AS hop FROM (
-          WITH RECURSIVE w(request, asset, hop) AS (
-            SELECT DISTINCT request, asset, 0 FROM {seeds}
-            UNION SELECT w.request, t.downstream, w.hop + 1 FROM w JOIN {table_edges} t ON t.upstream = w.asset WHERE w.hop < 3)
+          WITH RECURSIVE w(request, asset, hop, bound) AS (
+            SELECT DISTINCT s.request, s.asset, 0, coalesce(q.hops, 3) FROM {seeds} s JOIN {requests} q ON q.request = s.request
+            UNION SELECT w.request, t.downstream, w.hop + 1, w.bound FROM w JOIN {table_edges} t ON t.upstream = w.asset WHERE w.hop < w.bound)
           SELECT * FROM w) GROUP BY request, asset""",
 }
 

@@ -100,10 +100,10 @@ def _(e):
     "p4_first_per_day",
     f"""SELECT trip_id, passenger_count, l_partkey, l_suppkey, l_quantity FROM (
           SELECT *, row_number() OVER (PARTITION BY CAST(pickup_datetime AS DATE) ORDER BY {', '.join(POSITION)}) AS nth FROM {{trips}}
-          WHERE passenger_count > 0 AND trip_distance > 0 AND fare_amount > 0 AND total_amount > 0) WHERE nth <= 10""",
+          WHERE passenger_count > 0 AND trip_distance > 0 AND fare_amount > 0 AND total_amount > 0) WHERE nth <= 300""",
 )
 def _(e):
-    first = M.first_per_day(e.trips, POSITION, 10)
+    first = M.first_per_day(e.trips, POSITION)
     return first.select("trip_id", "passenger_count", "l_partkey", "l_suppkey", "l_quantity")
 
 

@@ -98,10 +98,10 @@ def _(e):
 
 @query(
     "f1_canonical_numbers",
-    f"SELECT l_orderkey, l_linenumber, {digits('l_quantity')} AS l_quantity, {digits('l_extendedprice')} AS l_extendedprice, {digits('l_tax')} AS l_tax FROM lineitem",
+    f"SELECT l_orderkey, l_linenumber, {digits('l_quantity')} AS l_quantity, {digits('l_extendedprice')} AS l_extendedprice, {digits('l_discount')} AS l_discount, {digits('l_tax')} AS l_tax FROM lineitem",
 )
 def _(e):
-    return canonical_numbers(e.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_tax"))
+    return canonical_numbers(e.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"))
 
 
 @query(
@@ -359,7 +359,7 @@ def _(e):
 )
 def _(e):
     per = e.writes.groupBy("flow", "task").agg(F.collect_set("dataset").alias("tables"))
-    label = X.task_label(F.lit(""), F.concat(F.lit("task_"), F.substring("task", 3, 99)))
+    label = X.task_label(F.lit(""), F.concat(F.lit("task_"), F.regexp_replace("task", "^t:", "")))
     return per.select("flow", "task", X.restored_reason(label, F.col("tables")).alias("reason"))
 
 

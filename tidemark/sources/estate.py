@@ -198,9 +198,10 @@ VIEWS: dict[str, str] = {
         UNION ALL
         SELECT DISTINCT 'urn:li:schemaField:d' || k || '.c' AS downstream, 'urn:li:dataset:d' || d AS upstream
         FROM {line_reads} WHERE line = 3""",
-    # A customer in debt who closes the account asks to be forgotten.
+    # A customer in debt who closes the account asks to be forgotten, some within no stated bound.
     "requests": """
-        SELECT 'r:' || c_custkey AS request, c_custkey, 3 AS hops FROM {customer} WHERE c_acctbal < 0""",
+        SELECT 'r:' || c_custkey AS request, c_custkey,
+               CASE WHEN c_custkey % 7 > 0 THEN CAST(c_custkey % 7 AS INT) END AS hops FROM {customer} WHERE c_acctbal < 0""",
     "request_identifiers": """
         SELECT request, 'cust_' || c_custkey AS identifier FROM {requests}
         UNION ALL SELECT request, 'mail_' || c_custkey AS identifier FROM {requests}""",

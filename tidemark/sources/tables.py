@@ -6,10 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: The columns of a trip file, in its order.
 TRIP_COLUMNS = (
-    "pickup_datetime dropoff_datetime passenger_count trip_distance fare_amount tip_amount total_amount "
-    "payment_type pickup_zone_id dropoff_zone_id"
-).split()
+    "pickup_datetime",
+    "dropoff_datetime",
+    "passenger_count",
+    "trip_distance",
+    "fare_amount",
+    "tip_amount",
+    "total_amount",
+    "payment_type",
+    "pickup_zone_id",
+    "dropoff_zone_id",
+)
 
 ZONE_CSV = "LocationID STRING, Borough STRING, Zone STRING, service_zone STRING"
 
