@@ -77,8 +77,9 @@ def nearest(
     """(query_id, rank, vec_id, score): the k rows of largest inner product found for each query, not itself.
 
     Every row is keyed on every curve and range-partitioned by (curve, key) into ordered blocks. A
-    query reads the blocks within `reach` (a share of all rows) of its own on every curve; each block
-    answers with its k best by exact inner product, and the answers merge. `queries` are rows of the
+    query reads the blocks within `reach` (a share of all rows) of its own on every curve, its own
+    ones first; each block answers with its k best by exact inner product, the later ones only with
+    what can still be among the k best, and the answers merge. `queries` are rows of the
     same table. Vectors that are null, zero or hold a null or non-finite component take no part, nor
     do those whose length is not the commonest one. Ties go to the smaller id. Rows repeating an id
     are candidates once for each different vector, of which the best counts. Extra columns are ignored.
@@ -127,11 +128,8 @@ def nearest(
     )
     last = -(-count // block) - 1
     width = math.ceil(reach * count / block)
-    asked = blocked.filter("asks").select(
-        "curve", F.explode(F.sequence(F.greatest(F.col("block") - width, F.lit(0)), F.least(F.col("block") + width, F.lit(last)))).alias("block"),
-        "vec_id", "v", F.lit(True).alias("asks"),
-    )
-    held = blocked.select("curve", "block", "vec_id", "v", F.lit(False).alias("asks"))
+    held = blocked.select("curve", "block", "vec_id", "v", F.lit(False).alias("asks"), F.lit(None).cast("double").alias("least"))
+    home = blocked.filter("asks").select("curve", "block", "vec_id", "v", "asks", F.lit(None).cast("double").alias("least"))
 
     def search(table: pa.Table) -> pa.Table:
         asks = table.column("asks").to_numpy(zero_copy_only=False).astype(bool)
@@ -142,6 +140,8 @@ def nearest(
         theirs, y = theirs[order], y[order]
         out = ([], [], [])
         mine, q = ids[asks], x[asks]
+        bound = table.column("least").to_numpy(zero_copy_only=False)[asks]
+        bound = np.where(np.isnan(bound), -np.inf, bound - 1e-9 * (1 + np.abs(bound)))
         for lo in range(0, len(mine), 256):
             rough = q[lo : lo + 256] @ y.T
             rough[mine[lo : lo + 256, None] == theirs[None, :]] = -np.inf
@@ -150,6 +150,7 @@ def nearest(
             else:
                 least = np.full(len(rough), -np.inf)
             floor = np.where(np.isfinite(least), least - 1e-9 * (1 + np.abs(least)), -np.inf)
+            floor = np.maximum(floor, bound[lo : lo + 256])
             for i, row in enumerate(rough):
                 # A product's rounding must not depend on its neighbours, or ties would not be ties.
                 close = np.flatnonzero((row >= floor[i]) & (row > -np.inf))
@@ -161,7 +162,15 @@ def nearest(
         types = (("query_id", pa.int64(), np.int64), ("vec_id", pa.int64(), np.int64), ("score", pa.float64(), np.float64))
         return pa.table({n: pa.array(np.concatenate([np.zeros(0, d), *o]), t) for (n, t, d), o in zip(types, out)})
 
-    found = held.union(asked).groupBy("curve", "block").applyInArrow(search, "query_id long, vec_id long, score double")
-    merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    answer = "query_id long, vec_id long, score double"
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    near, _ = scratch.write(held.union(home).groupBy("curve", "block").applyInArrow(search, answer), "near")
+    best = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order))
+    floors = best.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("least"))
+    blocks = F.sequence(F.greatest(F.col("block") - width, F.lit(0)), F.least(F.col("block") + width, F.lit(last)))
+    around = blocked.filter("asks").join(floors, "vec_id", "left").select(
+        "curve", F.explode(F.array_remove(blocks, F.col("block"))).alias("block"), "vec_id", "v", "asks", "least"
+    )
+    far = held.union(around).groupBy("curve", "block").applyInArrow(search, answer)
+    merged = near.union(far).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return merged.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
