@@ -210,6 +210,15 @@ def test_non_bundles_are_named(spark, tmp_path, drop, problem):
         ({"kind": "rebuild", "materialization": "fresh"}, "materialization is not one of full, merge, append, partition"),
         ({"kind": "rebuild", "materialization": "full"}, "soleProducer is not stated"),
         ({"kind": "rebuild", "materialization": "full", "soleProducer": True, "inputs": [{"asset": "a"}]}, "an input names no version"),
+        ({"kind": "rebuild", "materialization": "full", "soleProducer": True, "inputs": []}, None),
+        ({"kind": "rebuild", "materialization": "full", "soleProducer": True, "inputs": ["a"]}, "an input names no asset"),
+        ({"kind": "rebuild", "materialization": "full", "soleProducer": True, "inputs": [{"asset": "a", "version": 3}]}, "an input names no version"),
+        ({"kind": "rebuild", "materialization": "full", "soleProducer": "true", "inputs": []}, "soleProducer is not stated"),
+        ({"asset": 7, "version": 1}, "missing required fields: asset, version"),
+        ({"predicate": {"identifiers": ["a", 5], "expression": "e", "columns": []}}, "predicate names no identifiers"),
+        ({"predicate": "id = 'a'"}, "no predicate object"),
+        ({"scope": {"kind": "partitions", "covered": ["p"], "total": "9"}}, "partition scope has no positive total"),
+        ({"scope": {"kind": "partitions", "covered": ["p"], "total": 9}}, None),
     ],
 )
 def test_record_shapes(spark, change, problem):
@@ -225,6 +234,36 @@ def test_unreadable_payload(spark):
     assert {r.problem is not None for r in A.envelope_shapes(df, "payload").collect()} == {True}
 
 
+def test_envelopes_carry_one_signature_and_the_expected_type(spark):
+    record = {"kind": "rebuild", "request": "r", "asset": "a", "version": "v", "attestor": "t", "at": "x", "nonce": "n",
+              "materialization": "full", "soleProducer": True, "inputs": []}
+    payload = base64.b64encode(json.dumps(record).encode()).decode()
+    rows = [(1, "right", ["k"]), (2, "other", ["k"]), (3, "right", ["k", "l"]), (4, "right", []), (5, None, None)]
+    df = spark.createDataFrame([(*row, payload) for row in rows], "n INT, type STRING, keys ARRAY<STRING>, payload STRING")
+    got = {r.n: r.problem for r in A.envelope_shapes(df, "payload", "keys", "type", "right").collect()}
+    one, kind = "exactly one signature is required", "payload type is not the expected one"
+    assert got == {1: None, 2: kind, 3: one, 4: one, 5: kind}
+
+
+def test_a_refused_submission_leaves_its_nonce_open(spark):
+    """A mis-signed record may be sent again; only what follows an accepted one is a replay."""
+    day = "2026-01-05"
+    cols = "att_id STRING, request STRING, asset STRING, seq INT, nonce STRING, signed_key STRING, claimed_attestor STRING, said_request STRING, signature_valid INT, at STRING"
+    row = lambda i, asset, seq, valid: (i, "r", asset, seq, "n1", "k", "t", "r", valid, day)
+    sent = spark.createDataFrame([row("bad", "a", 1, 0), row("good", "a", 2, 1), row("again", "a", 3, 1), row("worse", "a", 4, 0), row("other", "b", 5, 1)], cols)
+    keys = spark.createDataFrame([("k", "t", "2026-01-01", "active", None)], "key_id STRING, attestor STRING, not_before STRING, state STRING, state_at STRING")
+    scopes = spark.createDataFrame([("k", "*")], "key_id STRING, scope STRING")
+    asked = spark.createDataFrame([("n1", "r", "a", "2026-01-04", "2026-02-01", 0)], "nonce STRING, request STRING, asset STRING, issued_at STRING, expires_at STRING, consumed INT")
+    got = {r.att_id: list(r.failures) for r in A.validate_attestations(sent, keys, scopes, asked, F.lit("2026-01-06")).collect()}
+    assert got == {
+        "bad": ["bad-signature"],
+        "good": [],
+        "again": ["challenge-replayed"],
+        "worse": ["bad-signature", "challenge-replayed"],
+        "other": ["challenge-mismatch"],
+    }
+
+
 def test_clean_orders_casing_and_dropped_rows(spark):
     raw = spark.createDataFrame(
         [(1, "  Ben   RUIZ ", 10.0, "2026-01-01 05:00:00"), (2, "x", None, "2026-01-01"), (3, "x", -1.0, "2026-01-01")], ORDERS

@@ -314,9 +314,8 @@ NOW = "DATE '2001-09-01'"
 VERIFIED = {
     "scoped": """SELECT DISTINCT a.signed_key, a.asset FROM {submissions} a JOIN {key_scopes} s ON s.key_id = a.signed_key
         WHERE CASE WHEN s.scope LIKE '%*' THEN starts_with(a.asset, rtrim(s.scope, '*')) ELSE a.asset = s.scope END""",
-    "again": """SELECT att_id FROM (SELECT att_id, row_number() OVER (PARTITION BY nonce ORDER BY asset, seq, att_id) AS rn FROM {submissions}) WHERE rn > 1""",
-    "verified": f"""
-        SELECT s.att_id, list_filter([
+    "judged": f"""
+        SELECT s.att_id, s.request, s.asset, s.nonce, s.seq, k.key_id IS NOT NULL AND c.nonce IS NOT NULL AS open, list_filter([
           CASE WHEN k.key_id IS NULL THEN 'unknown-key' END,
           CASE WHEN k.key_id IS NOT NULL AND s.signature_valid = 0 THEN 'bad-signature' END,
           CASE WHEN s.at < k.not_before THEN 'key-not-yet-valid' END,
@@ -326,12 +325,20 @@ VERIFIED = {
           CASE WHEN s.claimed_attestor <> k.attestor THEN 'attestor-mismatch' END,
           CASE WHEN k.key_id IS NOT NULL AND p.asset IS NULL THEN 'out-of-scope' END,
           CASE WHEN k.key_id IS NOT NULL AND c.nonce IS NULL THEN 'unknown-challenge' END,
-          CASE WHEN k.key_id IS NOT NULL AND c.nonce IS NOT NULL AND (c.consumed = 1 OR g.att_id IS NOT NULL) THEN 'challenge-replayed' END,
+          CASE WHEN k.key_id IS NOT NULL AND c.nonce IS NOT NULL AND c.consumed = 1 THEN 'challenge-replayed' END], lambda x: x IS NOT NULL) AS before, list_filter([
           CASE WHEN k.key_id IS NOT NULL AND {NOW} > c.expires_at THEN 'challenge-expired' END,
           CASE WHEN k.key_id IS NOT NULL AND (c.request <> s.request OR c.asset <> s.asset) THEN 'challenge-mismatch' END,
-          CASE WHEN s.said_request <> s.request THEN 'request-mismatch' END], lambda x: x IS NOT NULL) AS failures
+          CASE WHEN s.said_request <> s.request THEN 'request-mismatch' END], lambda x: x IS NOT NULL) AS after
         FROM {{submissions}} s LEFT JOIN {{keys}} k ON k.key_id = s.signed_key LEFT JOIN {{challenges}} c ON c.nonce = s.nonce
-        LEFT JOIN {{scoped}} p ON p.signed_key = s.signed_key AND p.asset = s.asset LEFT JOIN {{again}} g ON g.att_id = s.att_id""",
+        LEFT JOIN {{scoped}} p ON p.signed_key = s.signed_key AND p.asset = s.asset""",
+    # The first record with nothing else wrong spends its nonce; what arrives later for the same asset replays it.
+    "spent": """SELECT request, asset, nonce, min((seq, att_id)) AS spent FROM {judged} WHERE len(before) + len(after) = 0 GROUP BY ALL""",
+    "again": """SELECT j.att_id, j.nonce FROM {judged} j JOIN {spent} p ON p.request = j.request AND p.asset = j.asset AND p.nonce = j.nonce
+        WHERE j.open AND (j.seq, j.att_id) > p.spent""",
+    "verified": """
+        SELECT j.att_id, j.before || CASE WHEN g.att_id IS NOT NULL AND NOT list_contains(j.before, 'challenge-replayed')
+          THEN ['challenge-replayed'] ELSE [] END || j.after AS failures
+        FROM {judged} j LEFT JOIN {again} g ON g.att_id = j.att_id""",
 }
 
 
@@ -363,9 +370,10 @@ _failures("a7_challenge_faults", "unknown-challenge", "challenge-replayed", "cha
 _failures("a8_request_mismatch", "request-mismatch")
 
 
-@query("a7_replayed_nonces", "SELECT s.att_id, s.nonce FROM {submissions} s SEMI JOIN {again} g ON g.att_id = s.att_id", **VERIFIED)
+@query("a7_replayed_nonces", "SELECT att_id, nonce FROM {again}", **VERIFIED)
 def _(e):
-    return A.replays(e.submissions)
+    now = F.lit("2001-09-01").cast("date")
+    return A.replays(A.judge(e.submissions, e.keys, e.key_scopes, e.challenges, now).filter("open"))
 
 
 @query(
