@@ -303,3 +303,22 @@ def test_volatile_conflict_names_the_first(spark):
     declared = [("f", "t0", "d2", "x"), ("f", "t7", "d2", "y"), ("f", "t9", "d3", "z"), ("f", "t3", "d3", "w")]
     got = C.volatile_conflict(spark.createDataFrame(declared, cols), spark.createDataFrame(recorded, cols)).collect()
     assert {(r.task, r.dataset, r.other) for r in got} == {("t0", "d2", "t7"), ("t7", "d2", "t0"), ("t3", "d3", "t9")}
+
+
+def test_the_nearest_origin_is_the_least_of_the_closest(spark):
+    """A diamond: the task between two changes keeps the closer one, ties go to the smaller name."""
+    edges = {"t1": ("b", "c"), "t2": ("a", "d"), "t3": ("c", "e"), "t4": ("d", "e"), "t5": ("e", "f"), "t6": ("z", "y")}
+    make = spark.createDataFrame
+    tasks = make([("f", t, "complete") for t in edges], "flow STRING, task STRING, status STRING")
+    reads = make([("f", t, r) for t, (r, _) in edges.items()] + [("f", "t5", "c")], "flow STRING, task STRING, dataset STRING")
+    writes = make([("f", t, w) for t, (_, w) in edges.items()], "flow STRING, task STRING, dataset STRING")
+    changes = make([("f", "a"), ("f", "b")], "flow STRING, dataset STRING")
+    got = {(r.task, r.hops, r.origin) for r in S.nearest_origin(tasks, reads, writes, changes).collect()}
+    assert got == {("t1", 1, "b"), ("t2", 1, "a"), ("t3", 2, "b"), ("t4", 2, "a"), ("t5", 2, "b")}
+
+
+def test_a_pipeline_without_an_order_is_an_error(spark):
+    waves = spark.createDataFrame([("f", "a", 0), ("f", "b", None)], "flow STRING, task STRING, wave INT")
+    assert G.complete_order(waves.filter("wave IS NOT NULL")).count() == 1
+    with pytest.raises(ValueError, match="f/b"):
+        G.complete_order(waves)

@@ -23,7 +23,6 @@ COLUMN_SEPARATOR = "\u001f"
 LANE_DIGITS = 5
 WORD_DIGITS = 15
 DIGEST_DIGITS = 64
-EXACT_MODE_ROWS = 100_000
 
 
 def schema_fp(columns: Column) -> Column:
@@ -73,17 +72,6 @@ def content_fp(df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def content_fp_exact(df: DataFrame, exclude: Sequence[str] = (), canonical: bool = False) -> DataFrame:
-    """SHA-256 over the sorted row texts joined by newlines, for tables of a checked small size."""
-    if df.limit(EXACT_MODE_ROWS + 1).count() > EXACT_MODE_ROWS:
-        raise ValueError(f"exact mode is for at most {EXACT_MODE_ROWS} rows; use content_fp")
-    kept = kept_columns(df.columns, exclude)
-    text = df.select(row_repr(df, kept, canonical).alias("text"))
-    return text.agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list("text")), "\n"), 256).alias("content")
-    )
-
-
 def table_shape(df: DataFrame) -> DataFrame:
     """Row count and the ordered column list."""
     return df.agg(F.count(F.lit(1)).alias("row_count")).withColumn(

@@ -264,6 +264,14 @@ def cyclic(waves: DataFrame) -> DataFrame:
     return waves.filter(F.col("wave").isNull()).drop("wave")
 
 
+def complete_order(waves: DataFrame, named: int = 20) -> DataFrame:
+    """`waves` of a pipeline that must have an order; raises, naming the first tasks, where it has none."""
+    stuck = cyclic(waves).orderBy("flow", "task").limit(named).collect()
+    if stuck:
+        raise ValueError("no order exists; in or behind a cycle: " + ", ".join(f"{r.flow}/{r.task}" for r in stuck))
+    return waves
+
+
 def display_layers(waves: DataFrame) -> DataFrame:
     """A drawable layer for every node: the unplaced share one layer after the last."""
     last = waves.groupBy("flow").agg(F.max("wave").alias("last"))

@@ -9,7 +9,6 @@ from tidemark.functions.ranking import row_numbers, running_total
 from tidemark.functions.wording import agreeing, hop_label, table_label, text
 
 HISTORY_WINDOW = 200
-INCIDENT_LOOKBACK = 50
 LISTED_TASKS = 20
 
 
@@ -120,8 +119,10 @@ def repaired_tables(causes: DataFrame, cleared: DataFrame) -> DataFrame:
     return causes.join(cleared, ["flow", "task"], "left_semi").select("flow", "caused_by").distinct()
 
 
-def candidate_incidents(records: DataFrame, active: DataFrame, newest: int = INCIDENT_LOOKBACK) -> DataFrame:
-    """Incidents of each board's last records that are still active."""
+def candidate_incidents(records: DataFrame, active: DataFrame, newest: int | None = None) -> DataFrame:
+    """Incidents a board's records raised that are still active; of the `newest` records only, if given."""
+    if newest is None:
+        return records.select("flow", "incident").distinct().join(active, ["flow", "incident"], "left_semi")
     last = Window.partitionBy("flow").orderBy(F.desc("seq"))
     recent = records.withColumn("nth", F.row_number().over(last)).filter(F.col("nth") <= newest)
     return recent.select("flow", "incident").distinct().join(active, ["flow", "incident"], "left_semi")

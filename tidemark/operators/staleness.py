@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.graph import FINISHED, sole_producer, task_walk
+from tidemark.operators.iterate import EdgeIndex, grow
 
 
 def affected_by(
@@ -34,6 +35,31 @@ def affected_by(
     return task_walk(open_reads, open_writes, origins, ("flow",), first_via=first_via)
 
 
+def nearest_origin(tasks: DataFrame, reads: DataFrame, writes: DataFrame, changes: DataFrame) -> DataFrame:
+    """(flow, task, hops, origin): the nearest change behind each reached task, ties to the smaller name.
+
+    All origins are walked at once and a task is kept at its first round, so the work is linear in
+    the edges, where the closure grows with (change, task) pairs. The smallest origin survives: one
+    at a task's least distance is at the least distance of the task before it too.
+    """
+    finished = tasks.filter(F.col("status").isin(*FINISHED)).select("flow", "task")
+    inward = EdgeIndex(reads.join(finished, ["flow", "task"], "left_semi").select("flow", "dataset", "task"), ["flow", "dataset"], ["task"])
+    outward = EdgeIndex(writes.join(finished, ["flow", "task"], "left_semi").select("flow", "task", "dataset"), ["flow", "task"], ["dataset"])
+
+    def least(found: DataFrame, end: str) -> DataFrame:
+        return found.groupBy("flow", end).agg(F.min("origin").alias("origin"))
+
+    def step(frontier: DataFrame, _seen: DataFrame, _n: int) -> DataFrame:
+        made = least(outward.probe(frontier.select("flow", "task", "origin")), "dataset")
+        return least(inward.probe(made), "task")
+
+    start = changes.select("flow", "dataset", F.col("dataset").alias("origin")).distinct()
+    reached = grow(least(inward.probe(start), "task"), step, ["flow", "task"], None, "nearest", first=1)
+    inward.release()
+    outward.release()
+    return reached.select("flow", "task", F.col("round").alias("hops"), "origin")
+
+
 def cause_rows(affected: DataFrame, changes: DataFrame, writes: DataFrame) -> DataFrame:
     """The cause each reached task records: who made the change, when anybody can be named."""
     made_by = sole_producer(writes).withColumnRenamed("dataset", "origin")

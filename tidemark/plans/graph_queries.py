@@ -82,12 +82,12 @@ def _(e):
     "g1_downstream_all_boards",
     """WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT w.task AS src, r.task AS dst FROM {writes} w JOIN {reads} r ON w.dataset = r.dataset),
          w(origin, task, hops) AS (
-           SELECT DISTINCT c.dataset, r.task, 1 FROM {changes} c JOIN {reads} r ON r.dataset = c.dataset WHERE c.flow = '1-URGENT'
+           SELECT DISTINCT c.dataset, r.task, 1 FROM {changes} c JOIN {reads} r ON r.dataset = c.dataset
            UNION SELECT w.origin, e.dst, w.hops + 1 FROM w JOIN e ON e.src = w.task WHERE w.hops < 24)
        SELECT origin, task, min(hops) AS hops FROM w GROUP BY origin, task""",
 )
 def _(e):
-    origins = e.changes.filter(F.col("flow") == "1-URGENT").select(F.col("dataset").alias("origin"))
+    origins = e.changes.select(F.col("dataset").alias("origin"))
     return G.task_walk(e.reads, e.writes, origins)
 
 
@@ -103,7 +103,8 @@ def _(e):
 
 @query("g4_report_order", "SELECT flow, task, hops FROM {primary_found} ORDER BY hops, task, flow", **OPEN)
 def _(e):
-    return S.in_report_order(S.primary_mark(_cascade(e)).select("flow", "task", "hops"))
+    nearest = S.nearest_origin(e.tasks, e.reads, e.writes, e.changes)
+    return S.in_report_order(nearest.select("flow", "task", "hops"))
 
 
 @query("g5_author_attribution", "SELECT flow, task, caused_by, caused_by_task, hops, kind FROM {found_causes}", **OPEN)
@@ -157,16 +158,15 @@ def _(e):
     "g10_topological_layers",
     """WITH RECURSIVE e AS MATERIALIZED (
          SELECT DISTINCT r.flow, r.task, w.task AS before FROM {reads} r JOIN {writes} w ON w.flow = r.flow AND w.dataset = r.dataset
-         WHERE r.task <> w.task AND w.ord = 0),
+         WHERE r.task <> w.task),
        d(flow, task, depth) AS (
          SELECT flow, task, 0 FROM {tasks}
          UNION SELECT e.flow, e.task, d.depth + 1 FROM d JOIN e ON e.flow = d.flow AND e.before = d.task)
        SELECT flow, task, max(depth) AS wave FROM d GROUP BY flow, task""",
 )
 def _(e):
-    # First outputs only: order by the older table always, so the order is complete.
     nodes = e.tasks.select("flow", "task")
-    return G.layers(nodes, *G.waits_for(nodes, e.reads, e.writes.filter("ord = 0")))
+    return G.layers(nodes, *G.waits_for(nodes, e.reads, e.writes))
 
 
 #: Waves by counting rounds: a flagged task is placed once nothing unplaced comes before it.

@@ -157,9 +157,10 @@ def _(e):
     return plain(M.borough_mart(labeled(e), BOROUGHS, inside=False))
 
 
-@query("p14_borough_week", "SELECT * FROM {weeks} WHERE borough = 'ASIA'", **BUILT)
+@query("p14_borough_week", "SELECT * FROM {weeks} WHERE borough <> 'Other'", **BUILT)
 def _(e):
-    return M.borough_week(M.borough_mart(labeled(e), ["ASIA"]), "ASIA")
+    marks = labeled(e)
+    return M.stack([M.borough_week(M.borough_mart(marks, [b]), b) for b in BOROUGHS])
 
 
 @query("p14_p15_borough_weeks", "SELECT * FROM {weeks} ORDER BY borough", **BUILT)
@@ -167,11 +168,11 @@ def _(e):
     return M.borough_weeks(M.borough_marts(labeled(e), BOROUGHS)).orderBy("borough")
 
 
-@query("p15_stacked_weeks", "SELECT * FROM {weeks} WHERE borough IN ('ASIA', 'Other')", **BUILT)
+@query("p15_stacked_weeks", "SELECT * FROM {weeks}", **BUILT)
 def _(e):
     marks = labeled(e)
-    inside = M.borough_week(M.borough_mart(marks, ["ASIA"]), "ASIA")
-    return M.stack([inside, M.borough_week(M.borough_mart(marks, BOROUGHS, inside=False), "Other")])
+    inside = [M.borough_week(M.borough_mart(marks, [b]), b) for b in BOROUGHS]
+    return M.stack([*inside, M.borough_week(M.borough_mart(marks, BOROUGHS, inside=False), "Other")])
 
 
 @query(

@@ -265,8 +265,8 @@ def _(e):
 
 @query(
     "l6_candidate_incidents",
-    """SELECT DISTINCT flow, 'i:' || CAST(floor(seq / 2) AS BIGINT) AS incident FROM (SELECT *, row_number() OVER (PARTITION BY flow ORDER BY seq DESC) AS nth FROM {change_records})
-       WHERE nth <= 50 AND (flow, 'i:' || CAST(floor(seq / 2) AS BIGINT)) IN (SELECT (o_orderpriority, 'i:' || CAST(floor(o_orderkey / 2) AS BIGINT)) FROM orders WHERE o_orderstatus <> 'F')""",
+    """SELECT DISTINCT flow, 'i:' || CAST(floor(seq / 2) AS BIGINT) AS incident FROM {change_records}
+       WHERE (flow, 'i:' || CAST(floor(seq / 2) AS BIGINT)) IN (SELECT (o_orderpriority, 'i:' || CAST(floor(o_orderkey / 2) AS BIGINT)) FROM orders WHERE o_orderstatus <> 'F')""",
 )
 def _(e):
     named = F.concat(F.lit("i:"), F.floor(F.col("seq") / 2).cast("string"))

@@ -26,7 +26,10 @@ class VersionedTables:
     def _marks(self) -> DataFrame | None:
         try:
             return self.spark.read.schema(MARK).parquet(f"{self.root}/commits/*")
-        except AnalysisException:
+        except AnalysisException as problem:
+            # Only a missing folder means that nothing is committed yet.
+            if problem.getCondition() != "PATH_NOT_FOUND":
+                raise
             return None
 
     def head(self) -> int | None:
