@@ -333,6 +333,16 @@ def test_decontamination_finds_substituted_passages(spark):
     assert decontam.decontaminate(empty(spark), benchmark).count() == 0
 
 
+def test_thickness_of_an_opening_is_a_feature_of_its_rate():
+    """One word in 64, in 160 or in 400 with an opening sets as many features, whatever the text's length."""
+    bad = lambda n, of: toxicity.text_features(" ".join(["zzzzzx"] * n + [f"w{i}" for i in range(of - n)]).encode(), {})
+    ids = [toxicity.xxhash.xxh64_intdigest(f"{i}~zzzzz") % toxicity.FEATURES for i in range(3)]
+    held = lambda f: [i in set(f.tolist()) for i in ids]
+    assert held(bad(1, 64)) == [True, True, True] and held(bad(1, 65)) == [False, True, True]
+    assert held(bad(1, 400)) == [False, False, True] and held(bad(1, 401)) == [False] * 3
+    assert held(bad(2, 320)) == [False, True, True] and len(toxicity.text_features(b"", {})) == 0
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(8)
     rows, labels = [], []
