@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import components, doc_ids, join_labels, keyed_texts, text_slices
-from tidemark.session import materialize
+from tidemark.session import Scratch, materialize
 
 #: Fingerprints in a tile, about: two tiles and one block of comparisons fit in 32 MB.
 TILE = 32_768
@@ -20,23 +21,32 @@ TILE = 32_768
 #: Fingerprint pairs compared in one numpy call.
 BLOCK = 1 << 20
 
+#: Joins of candidates with the first of their group before a task takes what is left of it.
+ROUNDS = 2
 
-def fingerprint(text: bytes, width: int, seeds: range) -> list[int]:
-    """One unsigned 64-bit word for each seed: a bit is set if it is set in over half the shingle hashes.
 
-    Letters A-Z are lower-cased, words are runs of bytes other than ASCII white space, shingles are
-    `width` consecutive words joined by a space, repeats included; fewer words make one shingle and
-    no words make zero.
+def shingles_of(text: bytes, width: int) -> list[bytes]:
+    """The `width` consecutive words of every place; fewer words make one shingle and no words none.
+
+    Letters A-Z are lower-cased, words are runs of bytes other than ASCII white space.
     """
     words = text.lower().split()
     if not words:
-        return [0] * len(seeds)
+        return []
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     count = max(1, len(words) - width + 1)
     starts = np.concatenate(([0], ends[: count - 1] + 1)).tolist()
     stops = ends[min(width, len(words)) - 1 :].tolist()
-    shingles = [line[a:b] for a, b in zip(starts, stops)]
+    return [line[a:b] for a, b in zip(starts, stops)]
+
+
+def fingerprint(shingles: Collection[bytes], seeds: range) -> list[int]:
+    """One unsigned 64-bit word for each seed: a bit is set if it is set in over half the shingle hashes,
+    repeats included; no shingles make zero."""
+    count = len(shingles)
+    if not count:
+        return [0] * len(seeds)
     out = []
     for seed in seeds:
         hashes = np.array([xxhash.xxh64_intdigest(s, seed) for s in shingles], ">u8")
@@ -53,7 +63,7 @@ def fingerprints(docs: DataFrame, width: int = 4, bits: int = 64, seed: int = 42
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_slices(batches):
-            words = np.array([fingerprint(t, width, seeds) for t in texts], np.uint64).view(np.int64)
+            words = np.array([fingerprint(shingles_of(t, width), seeds) for t in texts], np.uint64).view(np.int64)
             fps = pa.ListArray.from_arrays(
                 pa.array(np.arange(len(texts) + 1, dtype=np.int32) * len(seeds)), pa.array(words.ravel())
             )
@@ -62,8 +72,13 @@ def fingerprints(docs: DataFrame, width: int = 4, bits: int = 64, seed: int = 42
     return keyed_texts(docs).mapInArrow(run, "doc_id long, fp array<long>")
 
 
-def links_between(a: np.ndarray, b: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i in a, j in b) of rows within `radius` bits; both are words x rows, sorted by population count."""
+def links_between(a: np.ndarray, b: np.ndarray, radius: int, half: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i in a, j in b) of rows within `radius` bits; both are words x rows, sorted by population count.
+
+    With `half`, pairs must be within that many bits in the first half of the words as well; only those
+    that are have the other half compared.
+    """
+    whole = len(a) if half is None else len(a) // 2
     ones_a = np.bitwise_count(a).sum(0, dtype=np.int64)
     ones_b = np.bitwise_count(b).sum(0, dtype=np.int64)
     step = max(1, BLOCK // max(1, b.shape[1]))
@@ -74,15 +89,19 @@ def links_between(a: np.ndarray, b: np.ndarray, radius: int) -> Iterator[tuple[n
         if first == last:
             continue
         apart = np.bitwise_count(a[0, lo:hi, None] ^ b[0, None, first:last])
-        for k in range(1, len(a)):
+        for k in range(1, whole):
             apart = apart + np.bitwise_count(a[k, lo:hi, None] ^ b[k, None, first:last])
-        near = apart <= radius
+        near = apart <= (radius if half is None else half)
         if near.any():
             i, j = np.nonzero(near)
-            yield i + lo, j + first
+            i, j = i + lo, j + first
+            if half is not None:
+                close = np.bitwise_count(a[:, i] ^ b[:, j]).sum(0, dtype=np.int64) <= radius
+                i, j = i[close], j[close]
+            yield i, j
 
 
-def tile_links(members: list[pa.ListScalar], words: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def tile_links(members: list[pa.ListScalar], words: int, radius: int, half: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The links of a tile pair (or of one tile with itself) as a spanning star of each linked set."""
     parts, nodes = [], []
     for m in members:
@@ -93,15 +112,15 @@ def tile_links(members: list[pa.ListScalar], words: int, radius: int) -> tuple[n
         nodes.append(flat.field("node").to_numpy()[order])
     shift = 0 if len(parts) == 1 else len(nodes[0])
     labels = np.arange(sum(map(len, nodes)))
-    for i, j in links_between(parts[0], parts[-1], radius):
+    for i, j in links_between(parts[0], parts[-1], radius, half):
         join_labels(labels, i, j + shift)
     every = np.concatenate(nodes)
     tied = labels != np.arange(len(labels))
     return every[tied], every[labels[tied]]
 
 
-def near_groups(prints: DataFrame, bits: int = 64, radius: int = 4, tile: int = TILE) -> DataFrame:
-    """(node, root) of the fingerprints linked to another one at `radius` bits or fewer.
+def near_groups(prints: DataFrame, bits: int = 64, radius: int = 4, tile: int = TILE, half: int | None = None) -> DataFrame:
+    """(node, root) of the fingerprints linked to another one at `radius` bits or fewer (and `half` in their first half).
 
     `prints` has (fp, node), each fingerprint once. Fingerprints are dealt by population count, and
     a count's fingerprints by hash, into tiles of about `tile`; tiles whose counts differ by more
@@ -132,7 +151,7 @@ def near_groups(prints: DataFrame, bits: int = 64, radius: int = 4, tile: int =
     work = sides.select("ones", "part", "near", "other", "s.*").join(held, ["o", "p"])
 
     def compare(table: pa.Table) -> pa.Table:
-        a, b = tile_links(list(table.column("members")), words, radius)
+        a, b = tile_links(list(table.column("members")), words, radius, half)
         return pa.table({"a": a, "b": b}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
     links = work.groupBy("ones", "part", "near", "other").applyInArrow(compare, "a long, b long")
@@ -156,17 +175,123 @@ def near_dedup_groups(docs: DataFrame, width: int = 4, bits: int = 64, radius: i
 
 
 def radius_for(similarity: float, bits: int) -> int:
-    """Bits that shingle sets of this Jaccard similarity differ in, as expected for sets of one size."""
-    return math.floor(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    """Bits within which shingle sets of this Jaccard similarity differ: the mean and four deviations more.
+
+    Sets of one size differ most. Very small ones differ in up to 3 bits of 16 at 0.8 (five shingles
+    and four of them), more than the angle says.
+    """
+    share = max(math.acos(2 * similarity / (1 + similarity)) / math.pi, 15 / 16 * (1 - similarity))
+    return math.floor(bits * share + 4 * math.sqrt(bits * share * (1 - share)))
+
+
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """The hashes of the different shingles, sorted."""
+    return np.unique(np.array([xxhash.xxh64_intdigest(s, 7) for s in shingles_of(text, width)], np.uint64).view(np.int64))
+
+
+def set_hash(hashes: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(hashes.tobytes())
+
+
+def set_prints(docs: DataFrame, width: int, bits: int) -> DataFrame:
+    """(doc_id, label, size, fp) for every row: a hash, the size and the fingerprint of its shingle set."""
+    seeds = range(42, 42 + bits // 64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in text_slices(batches):
+            labels, sizes, words = [], [], []
+            for t in texts:
+                held = shingle_hashes(t, width)
+                labels.append(set_hash(held))
+                sizes.append(len(held))
+                words.append(fingerprint(set(shingles_of(t, width)), seeds))
+            flat = np.array(words, np.uint64).view(np.int64).ravel()
+            fps = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * len(seeds)), pa.array(flat))
+            label = pa.array(np.array(labels, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([doc_ids(batch), label, pa.array(sizes, pa.int64()), fps], ["doc_id", "label", "size", "fp"])
+
+    return keyed_texts(docs).mapInArrow(run, "doc_id long, label long, size long, fp array<long>")
+
+
+def set_rows(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, label, held) for every row, held the hashes of its shingle set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in text_slices(batches):
+            sets = [shingle_hashes(t, width) for t in texts]
+            label = pa.array(np.array([set_hash(h) for h in sets], np.uint64).view(np.int64))
+            ends = np.concatenate(([0], np.cumsum([len(h) for h in sets]))).astype(np.int32)
+            held = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
+            yield pa.RecordBatch.from_arrays([doc_ids(batch), label, held], ["doc_id", "label", "held"])
+
+    return keyed_texts(docs).mapInArrow(run, "doc_id long, label long, held array<long>")
+
+
+def covered(table: pa.Table, similarity: float) -> pa.Table:
+    """The labels of a group that are similar to one before them (by doc) which is not itself such a one."""
+    order = pc.sort_indices(table, sort_keys=[("doc", "ascending"), ("label", "ascending")])
+    table = table.take(order)
+    kept_sizes: list[int] = []
+    posted: dict[int, list[int]] = {}
+    out = []
+    for label, held in zip(table.column("label").to_pylist(), table.column("held")):
+        hashes = held.values.to_pylist()
+        met = np.array([k for h in hashes for k in posted.get(h, ())], np.int64)
+        common = np.bincount(met, minlength=len(kept_sizes))
+        union = np.array(kept_sizes, np.int64) + len(hashes) - common
+        if (common >= similarity * union - 1e-9).any():
+            out.append(label)
+            continue
+        for h in hashes:
+            posted.setdefault(h, []).append(len(kept_sizes))
+        kept_sizes.append(len(hashes))
+    return pa.table({"label": pa.array(out, pa.int64())})
+
+
+def similar_labels(sets: DataFrame, similarity: float, rounds: int = ROUNDS) -> DataFrame:
+    """The labels of `sets` (root, doc, label, held) that are similar to a kept one with the same root.
+
+    Labels are taken in order of doc; one that is not similar to any kept one is kept. The first of
+    every root is kept, so all others are compared with it by a join, which adaptive execution can
+    split; what it does not cover goes on to the next round, and after `rounds` of them a task takes
+    what is left of a root.
+    """
+    scratch = Scratch(sets.sparkSession, "similar")
+    left, gone = sets, []
+    for n in range(rounds):
+        first = left.groupBy("root").agg(F.min_by("held", F.struct("doc", "label")).alias("lead"), F.min(F.struct("doc", "label")).alias("at"))
+        met = left.join(first, "root").filter(F.struct("doc", "label") != F.col("at"))
+        common = F.size(F.array_intersect("held", "lead"))
+        near = common >= similarity * (F.size("held") + F.size("lead") - common) - F.lit(1e-9)
+        judged, count = scratch.write(met.select("root", "doc", "label", "held", near.alias("near")), f"r{n}")
+        gone.append(judged.filter("near").select("label"))
+        left = judged.filter("not near").drop("near")
+        if not count:
+            break
+    out = left.groupBy("root").applyInArrow(lambda t: covered(t, similarity), "label long")
+    for g in gone:
+        out = out.union(g)
+    return out
 
 
-def near_dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8, bits: int = 128) -> DataFrame:
-    """`docs` with one document of each near-duplicate group, the one with the smallest doc_id.
+def near_dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8, bits: int = 256) -> DataFrame:
+    """`docs` without the documents whose set of shingles has a Jaccard similarity of `similarity` or
+    more with that of a document that stays; of two the one with the smaller doc_id stays.
 
-    128 bits tell a similarity of 0.8 from chance without looking at the texts again: unrelated
-    fingerprints differ in 64 of them on average, and 19 or fewer has odds below 1e-15. Rows that
-    repeat a kept doc_id are that document and stay; rows with a null doc_id all stay.
+    Fingerprints of the sets give the candidates, at a radius that leaves out fewer than one pair in
+    ten thousand at that similarity; whether a pair is similar is then counted on the sets themselves,
+    so no document goes for its fingerprint alone. Texts without words are copies of each other. Rows
+    that repeat a kept doc_id are that document and stay; rows with a null doc_id all stay.
     """
-    found = near_dedup_groups(docs, width, bits, radius_for(similarity, bits))
-    dropped = found.filter("component_id <> doc_id").select("doc_id").distinct()
+    prints = materialize(set_prints(docs, width, bits).filter("doc_id is not null"), "prints")
+    nodes = materialize(prints.groupBy("label").agg(F.min("doc_id").alias("doc"), F.first("fp").alias("fp"), F.first("size").alias("size")), "nodes")
+    search = nodes.filter("size > 0").select("fp", F.col("label").alias("node"))
+    roots = near_groups(search, bits, radius_for(similarity, bits), half=radius_for(similarity, bits // 2))
+    members = materialize(roots.join(nodes, roots["node"] == nodes["label"]).select("root", "doc", "label"), "members")
+    texts = docs.join(members.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    rows = set_rows(texts, width).withColumnRenamed("doc_id", "doc").dropDuplicates(["doc", "label"])
+    gone = similar_labels(materialize(members.join(rows, ["doc", "label"]), "sets"), similarity).withColumn("near", F.lit(True))
+    judged = prints.join(nodes.select("label", "doc"), "label").join(materialize(gone, "gone"), "label", "left")
+    stays = (F.col("doc") == F.col("doc_id")) & F.col("near").isNull()
+    dropped = judged.groupBy("doc_id").agg(F.bool_or(stays).alias("stays")).filter("not stays").select("doc_id")
     return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
