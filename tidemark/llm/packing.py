@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import keyed_texts, text_slices
-from tidemark.session import Scratch
+from tidemark.session import Scratch, materialize
 
 #: Permitted sequence lengths, in words.
 CAPACITIES = (256, 512, 1024, 2048)
@@ -86,34 +86,40 @@ def pack(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, cost: Callable
     piece of 0 words in no bin (null bin_id). Rows with a null doc_id or a repeated one are packed like
     any other. Extra columns are ignored.
     """
+    return place(keyed_texts(docs), capacities, cost, group, ["doc_id"])
+
+
+def place(texts: DataFrame, capacities: Sequence[int], cost: Callable[[int], float], group: int, keys: list[str]) -> DataFrame:
+    """What pack() returns for `texts` (doc_id, text and the other `keys`), with the keys before the piece;
+    pieces are dealt by the last key."""
     largest = max(capacities)
-    counted = keyed_texts(docs).select(
-        "doc_id", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("words")
+    counted = texts.select(
+        *keys, F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("words")
     )
-    pieces = counted.select("doc_id", "words", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("words") / largest) - 1, F.lit(0)).cast("int"))).alias("piece")).select(
-        "doc_id", "piece",
+    pieces = counted.select(*keys, "words", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("words") / largest) - 1, F.lit(0)).cast("int"))).alias("piece")).select(
+        *keys, "piece",
         (F.col("piece").cast("long") * largest).alias("start"),
         F.least(F.lit(largest), F.col("words") - F.col("piece").cast("long") * largest).cast("long").alias("n_words"),
     )
-    held, count = Scratch(docs.sparkSession, "pieces").write(pieces, "t")
+    held, count = Scratch(texts.sparkSession, "pieces").write(pieces, "t")
     groups = max(1, -(-count // group))
     none = [F.lit(None).cast("long").alias("bin_id"), *(F.lit(0).cast("long").alias(c) for c in ("bin_offset", "capacity", "bin_words"))]
-    empty = held.filter("n_words = 0").select("doc_id", "piece", "start", "n_words", *none)
+    empty = held.filter("n_words = 0").select(*keys, "piece", "start", "n_words", *none)
 
     def run(table: pa.Table) -> pa.Table:
-        order = pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("piece", "ascending"), ("n_words", "ascending")])
+        order = pc.sort_indices(table, sort_keys=[*((k, "ascending") for k in keys), ("piece", "ascending"), ("n_words", "ascending")])
         table = table.take(order)
         where, offset, final = best_fit(table.column("n_words").to_numpy(), capacities, cost)
         fill = np.bincount(where, table.column("n_words").to_numpy(), len(final)).astype(np.int64)
         base = table.column("deal")[0].as_py() << 32
-        out = table.select(["doc_id", "piece", "start", "n_words"])
+        out = table.select([*keys, "piece", "start", "n_words"])
         for name, values in (("bin_id", base + where), ("bin_offset", offset), ("capacity", final[where]), ("bin_words", fill[where])):
             out = out.append_column(name, pa.array(values, pa.int64()))
         return out
 
-    dealt = held.filter("n_words > 0").withColumn("deal", F.pmod(F.xxhash64("doc_id", "piece", "n_words"), F.lit(groups)))
+    dealt = held.filter("n_words > 0").withColumn("deal", F.pmod(F.xxhash64(keys[-1], "piece", "n_words"), F.lit(groups)))
     packed = dealt.groupBy("deal").applyInArrow(
-        run, "doc_id long, piece int, start long, n_words long, bin_id long, bin_offset long, capacity long, bin_words long"
+        run, ", ".join(f"{k} long" for k in keys) + ", piece int, start long, n_words long, bin_id long, bin_offset long, capacity long, bin_words long"
     )
     return packed.union(empty)
 
@@ -125,24 +131,30 @@ def cut_pieces(text: bytes, largest: int) -> list[str]:
     return [text[a:b].decode("utf-8", "replace") for a, b in zip(bounds[:-1], bounds[1:])]
 
 
-def packed_sequences(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, separator: str = "\n\n", **options) -> DataFrame:
+def packed_sequences(
+    docs: DataFrame, capacities: Sequence[int] = CAPACITIES, separator: str = "\n\n",
+    cost: Callable[[int], float] = sequence_cost, group: int = GROUP,
+) -> DataFrame:
     """(bin_id, capacity, n_words, doc_ids, text): every bin as the texts of its pieces, in their order.
 
-    Documents without words are in no bin. `doc_ids` names a document once for each of its pieces.
+    Documents without words are in no bin. `doc_ids` names a document once for each of its pieces. Rows
+    are told apart by a number of their own, so those with a null doc_id or a repeated one lose and
+    gain nothing.
     """
     largest = max(capacities)
-    placed = pack(docs, capacities, **options).filter("bin_id is not null")
+    rows = materialize(keyed_texts(docs).withColumn("row", F.monotonically_increasing_id()), "rows")
+    placed = place(rows, capacities, cost, group, ["doc_id", "row"]).filter("bin_id is not null")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_slices(batches):
-            rows = [(d, i, p) for d, t in zip(batch.column(0).to_pylist(), texts) for i, p in enumerate(cut_pieces(t, largest))]
+            cuts = [(d, i, p) for d, t in zip(batch.column(0).to_pylist(), texts) for i, p in enumerate(cut_pieces(t, largest))]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string())],
-                ["doc_id", "piece", "text"],
+                [pa.array([r[0] for r in cuts], pa.int64()), pa.array([r[1] for r in cuts], pa.int32()), pa.array([r[2] for r in cuts], pa.string())],
+                ["row", "piece", "text"],
             )
 
-    texts = keyed_texts(docs).mapInArrow(cut, "doc_id long, piece int, text string")
-    joined = placed.join(texts, ["doc_id", "piece"])
+    texts = rows.select("row", "text").mapInArrow(cut, "row long, piece int, text string")
+    joined = placed.join(texts, ["row", "piece"])
     parts = F.sort_array(F.collect_list(F.struct("bin_offset", "doc_id", "text")))
     return joined.groupBy("bin_id", "capacity", F.col("bin_words").alias("n_words")).agg(parts.alias("parts")).select(
         "bin_id", "capacity", "n_words",
