@@ -78,7 +78,7 @@ def nearest(
 
     Every row is keyed on every curve and range-partitioned by (curve, key) into ordered blocks. A
     query reads the blocks within `reach` (a share of all rows) of its own on every curve, its own
-    ones first; each block answers with its k best by exact inner product, the later ones only with
+    ones first; each block answers with its k best ids by exact inner product, the later ones only with
     what can still be among the k best, and the answers merge. `queries` are rows of the
     same table. Vectors that are null, zero or hold a null or non-finite component take no part, nor
     do those whose length is not the commonest one. Ties go to the smaller id. Rows repeating an id
@@ -93,7 +93,7 @@ def nearest(
         return spark.createDataFrame([], schema)
     ids = queries.select(F.col(key).cast("long").alias("vec_id")).distinct().withColumn("asks", F.lit(True))
     vectors, count = scratch.write(
-        sized.filter(F.col("size") == commonest["size"]).join(ids, "vec_id", "left")
+        sized.filter(F.col("size") == commonest["size"]).dropDuplicates(["vec_id", "v"]).join(ids, "vec_id", "left")
         .select("vec_id", "v", F.coalesce("asks", F.lit(False)).alias("asks")), "vectors"
     )
     parts = vectors.mapInArrow(moments, "n long, largest double, total array<double>, products array<double>")
@@ -138,6 +138,7 @@ def nearest(
         # smaller ids first, so a stable sort settles ties
         order = np.argsort(theirs, kind="stable")
         theirs, y = theirs[order], y[order]
+        heads = np.flatnonzero(np.diff(theirs, prepend=theirs[:1] - 1))
         out = ([], [], [])
         mine, q = ids[asks], x[asks]
         bound = table.column("least").to_numpy(zero_copy_only=False)[asks]
@@ -145,8 +146,10 @@ def nearest(
         for lo in range(0, len(mine), 256):
             rough = q[lo : lo + 256] @ y.T
             rough[mine[lo : lo + 256, None] == theirs[None, :]] = -np.inf
-            if rough.shape[1] > k:
-                least = np.partition(rough, -k, axis=1)[:, -k]
+            if len(heads) > k:
+                # the best row of each id, so that k rows of one id do not stand for k neighbours
+                by_id = rough if len(heads) == len(theirs) else np.maximum.reduceat(rough, heads, axis=1)
+                least = np.partition(by_id, -k, axis=1)[:, -k]
             else:
                 least = np.full(len(rough), -np.inf)
             floor = np.where(np.isfinite(least), least - 1e-9 * (1 + np.abs(least)), -np.inf)
@@ -155,7 +158,8 @@ def nearest(
                 # A product's rounding must not depend on its neighbours, or ties would not be ties.
                 close = np.flatnonzero((row >= floor[i]) & (row > -np.inf))
                 score = (y[close] * q[lo + i]).sum(1)
-                best = np.argsort(-score, kind="stable")[:k]
+                best = np.argsort(-score, kind="stable")
+                best = best[np.sort(np.unique(theirs[close[best]], return_index=True)[1])[:k]]
                 out[0].append(np.full(len(best), mine[lo + i]))
                 out[1].append(theirs[close[best]])
                 out[2].append(score[best])
