@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, decontam, langid, lines, packing, recompress, simhash, suffixes, toxicity, urls
+from tidemark.llm import ann, decontam, importance, langid, lines, packing, recompress, simhash, suffixes, toxicity, urls
 from tidemark.llm.common import held_out
 from tidemark.llm.registry import query, table
 
@@ -176,3 +176,48 @@ def byte_oracle(length: int) -> str:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixes.suffix_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def gain_oracle(grams: int, buckets: int, percent: int, least: int, seed: int) -> str:
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    words = f"regexp_extract_all({lower}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    runs = " UNION ALL ".join(
+        f"SELECT own, doc_id, unnest(list_transform(range(1, len(ws) - {n - 2}), lambda i: array_to_string(ws[i:i + {n - 1}], ' '))) AS feature FROM texts"
+        for n in range(1, grams + 1)
+    )
+    step = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    return f"""
+    WITH crc AS (
+        SELECT list(list_reduce(range(8), lambda c, k: {step}, i) ORDER BY i) AS steps FROM (SELECT unnest(range(256)) AS i)),
+    texts AS (
+        SELECT 1 AS own, doc_id, {words} AS ws FROM documents UNION ALL SELECT 0, item_id, {words} FROM benchmark),
+    listed AS ({runs}),
+    bytes AS (SELECT feature, hex(encode(feature)) AS h FROM (SELECT DISTINCT feature FROM listed)),
+    hashed AS (
+        SELECT feature, xor(list_reduce(
+            list_transform(range(0, CAST(length(h) / 2 AS BIGINT)), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)),
+            lambda c, b: xor(c >> 8, steps[xor(c, b) % 256 + 1]), 4294967295), 4294967295) % {buckets} AS bucket
+        FROM bytes, crc),
+    placed AS (SELECT own, doc_id, bucket FROM listed JOIN hashed USING (feature)),
+    counted AS (SELECT bucket, count(*) FILTER (own = 1) AS s, count(*) FILTER (own = 0) AS t FROM placed GROUP BY bucket),
+    totals AS (SELECT CAST(count(*) FILTER (own = 1) AS DOUBLE) AS all_s, CAST(count(*) FILTER (own = 0) AS DOUBLE) AS all_t FROM placed),
+    gains AS (
+        SELECT bucket, CAST(floor(1000 * ln((CAST(t AS DOUBLE) + 1) * (all_s + {buckets}) / ((CAST(s AS DOUBLE) + 1) * (all_t + {buckets})))) AS BIGINT) AS gain
+        FROM counted, totals),
+    weighed AS (
+        SELECT doc_id, count(*) AS n_features, CAST(floor(CAST(sum(gain) AS DOUBLE) / count(*)) AS BIGINT) AS weight
+        FROM placed JOIN gains USING (bucket) WHERE own = 1 GROUP BY doc_id),
+    scored AS (
+        SELECT texts.doc_id, len(ws) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+            coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('{seed}:' || texts.doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+        FROM texts LEFT JOIN weighed ON weighed.doc_id = texts.doc_id WHERE own = 1),
+    ranks AS (
+        SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_words >= {least})
+    SELECT scored.doc_id, n_features, weight, score, CASE WHEN rank <= {percent} * n // 100 THEN rank END AS rank
+    FROM scored LEFT JOIN ranks ON ranks.doc_id = scored.doc_id"""
+
+
+@query("op11_importance_resampling", gain_oracle(2, importance.BUCKETS, 25, 20, 7))
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
