@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, decontam, importance, langid, lines, packing, recompress, simhash, suffixes, toxicity, urls
+from tidemark.llm import ann, centroids, decontam, importance, langid, lines, packing, recompress, simhash, suffixes, toxicity, urls
 from tidemark.llm.common import held_out
 from tidemark.llm.registry import query, table
 
@@ -221,3 +221,37 @@ def gain_oracle(grams: int, buckets: int, percent: int, least: int, seed: int) -
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def centroid_oracle(clusters: int, rounds: int, size: int, scale: int, seed: int) -> str:
+    nearest = """
+    a{n} AS (
+        SELECT vec_id, min({{'distance': distance, 'cluster': cluster}}) AS best
+        FROM (SELECT vec_id, cluster, CAST(sum((x - c) * (x - c)) AS BIGINT) AS distance FROM listed JOIN c{n} USING (k) GROUP BY vec_id, cluster)
+        GROUP BY vec_id)"""
+    moved = """
+    c{m} AS (
+        SELECT cluster, k, coalesce(mean, c) AS c
+        FROM c{n} LEFT JOIN (
+            SELECT best.cluster AS cluster, k, CAST((sum(x) - (sum(x) % count(*) + count(*)) % count(*)) // count(*) AS BIGINT) AS mean
+            FROM listed JOIN a{n} USING (vec_id) GROUP BY ALL) USING (cluster, k))"""
+    steps = ",".join(nearest.format(n=n) + (("," + moved.format(n=n, m=n + 1)) if n < rounds else "") for n in range(rounds + 1))
+    return f"""
+    WITH kept AS (
+        SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS parts
+        FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) = {size} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {size}),
+    listed AS (SELECT vec_id, unnest(parts) AS x, generate_subscripts(parts, 1) AS k FROM kept),
+    c0 AS (
+        SELECT cluster, unnest(parts) AS c, generate_subscripts(parts, 1) AS k
+        FROM (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), vec_id) - 1 AS cluster, parts FROM kept) WHERE cluster < {clusters}),
+    {steps},
+    summed AS (SELECT best.cluster AS cluster, CAST(sum(best.distance) AS BIGINT) AS cluster_inertia FROM a{rounds} GROUP BY ALL),
+    digests AS (SELECT cluster, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY k)) AS centroid_sha256 FROM c{rounds} GROUP BY cluster)
+    SELECT vec_id, CAST(best.cluster AS INTEGER) AS cluster, best.distance AS distance, cluster_inertia,
+        (SELECT CAST(sum(cluster_inertia) AS BIGINT) FROM summed) AS inertia, centroid_sha256
+    FROM a{rounds} JOIN summed ON summed.cluster = best.cluster JOIN digests ON digests.cluster = best.cluster"""
+
+
+@query("op12_centroid_clustering", centroid_oracle(40, 5, 64, 256, 2))
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.with_inertia(*centroids.cluster_vectors(table(spark, sf_dir, "embeddings")))
