@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, centroids, decontam, importance, langid, lines, packing, recompress, simhash, suffixes, toxicity, urls
+from tidemark.llm import ann, centroids, decontam, importance, jaccard, langid, lines, packing, recompress, simhash, suffixes, toxicity, urls
 from tidemark.llm.common import held_out
 from tidemark.llm.registry import query, table
 
@@ -255,3 +255,27 @@ def centroid_oracle(clusters: int, rounds: int, size: int, scale: int, seed: int
 @query("op12_centroid_clustering", centroid_oracle(40, 5, 64, 256, 2))
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.with_inertia(*centroids.cluster_vectors(table(spark, sf_dir, "embeddings")))
+
+
+def jaccard_oracle(width: int, percent: int) -> str:
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+    WITH RECURSIVE words AS (
+        SELECT doc_id, list_filter(regexp_split_to_array({lower}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+    sets AS (
+        SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] ELSE list_distinct(list_transform(
+            range(1, greatest(1, len(ws) - {width - 1}) + 1), lambda i: array_to_string(ws[i:i + {width - 1}], ' '))) END AS held
+        FROM words),
+    listed AS (SELECT doc_id, len(held) AS size, unnest(held) AS shingle FROM sets),
+    pairs AS (
+        SELECT a.doc_id AS a, b.doc_id AS b
+        FROM listed a JOIN listed b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id AND 100 * a.size >= {percent} * b.size AND 100 * b.size >= {percent} * a.size
+        GROUP BY a.doc_id, b.doc_id, a.size, b.size HAVING 100 * count(*) >= {percent} * (a.size + b.size - count(*))),
+    reach AS (SELECT doc_id, doc_id AS other FROM sets UNION SELECT reach.doc_id, pairs.b FROM reach JOIN pairs ON pairs.a = reach.other)
+    SELECT sets.doc_id, CAST(len(held) AS BIGINT) AS n_shingles, component_id
+    FROM sets JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)"""
+
+
+@query("op13_ngram_jaccard_join", jaccard_oracle(5, 80))
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
