@@ -112,3 +112,15 @@ def test_parities_differ_no_more_than_sets():
         two = np.unique(np.concatenate((one[: n // 2], rng.integers(0, 2**63, n).astype(np.uint64))))
         bits = np.bitwise_count((jaccard.parity(one) ^ jaccard.parity(two)).view(np.uint64)).sum()
         assert bits <= len(np.setxor1d(one, two))
+
+
+def test_hashes_follow_the_words_alone(monkeypatch):
+    rng = random.Random(6)
+    texts = ["", " ", "One", "a\tb", "A  B", "x" * 300, "a\0", "é ü " * 9, *(prose(rng, rng.randrange(1, 80)) for _ in range(40))]
+    raw = [t.encode() for t in texts]
+    alone = [jaccard.shingle_sets([t], 5)[0].tolist() for t in raw]
+    assert [s.tolist() for s in jaccard.shingle_sets(raw, 5)] == alone
+    monkeypatch.setattr(jaccard, "PIECE", 16)
+    assert [s.tolist() for s in jaccard.shingle_sets(raw, 5)] == alone
+    assert [len(s) for s in alone] == [len(plain_set(t)) for t in texts]
+    assert alone[3] == alone[4] and alone[2] != alone[6]

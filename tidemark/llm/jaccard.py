@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import components, doc_ids, keyed_texts, text_slices
+from tidemark.llm.importance import pieces
 from tidemark.session import Scratch, materialize
 
 #: Leading bits of a shingle's hash that its frequency class is counted by.
@@ -30,11 +31,22 @@ LIST = 10_000
 #: Rounds in which each list compares its members with one of them before pairs are listed.
 ROUNDS = 3
 
+#: A round that joins fewer than one in so many of its pairs is the last of these.
+WORTH = 10
+
 #: Bits of the filter that spares the texts of documents without a candidate a shuffle.
 FILTER_BITS = 20
 
-#: Different words whose hashes a task remembers.
-WORDS = 1 << 20
+#: Different sets that a task remembers to have posted.
+POSTED = 1 << 20
+
+#: Bytes whose words are hashed at once, about: some ten times as much memory.
+PIECE = 4 << 20
+
+#: A-Z in lower case, white space as blanks.
+FOLDED = bytes(32 if 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256))
+
+HELD = "label long, held array<long>"
 
 #: Words of 64 parity bits kept of each set.
 PARITY = 4
@@ -55,33 +67,57 @@ def prefix(size: int, percent: int) -> int:
     return size - needed(size, partner_sizes(size, percent)[0], percent) + 1 if size else 0
 
 
-class WordHashes(dict):
-    """The hash of each word, remembered up to a bound."""
+def scrambled(values: np.ndarray) -> np.ndarray:
+    """A fixed bijection of 64-bit words that leaves no pattern."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        values = (values ^ (values >> np.uint64(shift))) * np.uint64(factor)
+    return values ^ (values >> np.uint64(31))
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word, 13)
-        return h
 
+def word_hashes(line: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The place and the hash of each word of `line`, whose words stand between blanks.
 
-def shingle_set(text: bytes, width: int, known: WordHashes) -> np.ndarray:
-    """The sorted distinct hashes of the runs of `width` words; fewer words make one run, no words none."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    run = min(width, len(words))
+    A hash is the sum of the word's bytes, each times a random factor of its place in the word, so all
+    words of a piece are hashed at once.
+    """
+    places, hashes, at = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
+    for piece in pieces(line, PIECE):
+        data = np.frombuffer(piece, np.uint8)
+        letter = data != 32
+        edge = np.flatnonzero(np.diff(letter, prepend=False, append=False))
+        starts, lengths = edge[::2], edge[1::2] - edge[::2]
+        if len(starts):
+            first = np.cumsum(lengths) - lengths
+            inside = np.arange(first[-1] + lengths[-1]) - np.repeat(first, lengths)
+            factors = scrambled(np.arange(1, lengths.max() + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            terms = factors[inside]
+            terms *= data[letter].astype(np.uint64) + np.uint64(1)
+            hashes.append(scrambled(np.add.reduceat(terms, first)))
+            places.append(starts + at)
+        at += len(piece)
+    return np.concatenate(places), np.concatenate(hashes)
+
+
+def run_hashes(words: np.ndarray, run: int) -> np.ndarray:
+    """The hash of each run of `run` words."""
     last = len(words) - run + 1
-    out = np.full(last, run, np.uint64)
-    for k in range(run):
-        out ^= out >> np.uint64(31)
-        out *= np.uint64(0x9E3779B97F4A7C15)
-        out += hashes[k : k + last]
-    out ^= out >> np.uint64(32)
-    out *= np.uint64(0xD6E8FEB86659FD93)
-    out ^= out >> np.uint64(29)
-    return np.unique(out)
+    out = np.full(max(0, last), run, np.uint64)
+    for k in range(run if last > 0 else 0):
+        out = (out ^ (out >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        out += words[k : k + last]
+    return scrambled(out)
+
+
+def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
+    """Of each text the sorted distinct hashes of its runs of `width` words; fewer words make one run, no words none."""
+    places, words = word_hashes(b" ".join(texts).translate(FOLDED))
+    starts = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+    first = np.searchsorted(places, starts).tolist() + [len(places)]
+    runs = run_hashes(words, width)
+    return [
+        np.unique(runs[a : b - width + 1] if b - a >= width else run_hashes(words[a:b], b - a) if b > a else words[:0])
+        for a, b in zip(first[:-1], first[1:])
+    ]
 
 
 def parity(held: np.ndarray) -> np.ndarray:
@@ -109,10 +145,10 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = WordHashes(), np.zeros(1 << CLASS_BITS, np.int64)
+        counts = np.zeros(1 << CLASS_BITS, np.int64)
         names = ["kind", "doc_id", "label", "size", "odd", "held"]
         for batch, texts in text_slices(batches):
-            sets = [shingle_set(t, width, known) for t in texts]
+            sets = shingle_sets(texts, width)
             counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - CLASS_BITS)).astype(np.int64), minlength=len(counts))
             small = [signed(s) if len(s) <= MOST_SMALL else np.zeros(0, np.int64) for s in sets]
             labels = np.array([xxhash.xxh64_intdigest(s.tobytes(), 5) for s in sets], np.uint64)
@@ -155,15 +191,14 @@ def postings(docs: DataFrame, width: int, percent: int, ranks: np.ndarray, fan:
     low = np.uint64(64 - CLASS_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, posted = WordHashes(), set()
+        posted = set()
         for _, texts in text_slices(batches):
             tokens, labels, places = [np.zeros(0, np.uint64)], [], [np.zeros(0, np.int64)]
-            for t in texts:
-                held = shingle_set(t, width, known)
+            for held in shingle_sets(texts, width):
                 label = xxhash.xxh64_intdigest(held.tobytes(), 5)
                 if not len(held) or label in posted:
                     continue
-                if len(posted) >= WORDS:
+                if len(posted) >= POSTED:
                     posted.clear()
                 posted.add(label)
                 count = prefix(len(held), percent)
@@ -244,7 +279,7 @@ def subset_links(sets: DataFrame, below: int, percent: int) -> DataFrame:
                 for other in partner_sizes(len(held), percent):
                     if other < below:
                         pair = min(len(held), other), max(len(held), other)
-                        for subset in combinations(held, needed(*pair, percent)):
+                        for subset in itertools.combinations(held, needed(*pair, percent)):
                             key = xxhash.xxh64_intdigest(np.array([*pair, *subset], np.int64).tobytes(), 3)
                             rows.append((key - (key >> 63 << 64), label, len(held), int(pair[0] == pair[1])))
                 if len(rows) > SUBSETS:
@@ -312,57 +347,46 @@ def listed_pairs(lists: DataFrame, sets: DataFrame, named: DataFrame, below: int
     return pairs.select(F.least("x.label", "y.label").alias("a"), F.greatest("x.label", "y.label").alias("b")).distinct()
 
 
-def wanted_texts(docs: DataFrame, sets: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """(label, text) of every set in `pairs`, once.
+def wanted_sets(docs: DataFrame, sets: DataFrame, pairs: DataFrame, held: DataFrame, width: int) -> DataFrame:
+    """(label, held) of every set in `pairs` that is not in `held` yet, once: its sorted shingles, from the whole text.
 
-    A bit for each document wanted, by hash, goes to the tasks (128 KB), so few other texts are
-    shuffled; with very many documents wanted it lets more through, which the join sorts out.
+    Documents are first told by a hash of 20 bits, at most a million of which go to the tasks (8 MB), so
+    that few other texts are read through; the join on the label sorts out the rest.
     """
-    labels = pairs.select(F.explode(F.array("a", "b")).alias("label")).distinct()
+    labels = pairs.select(F.explode(F.array("a", "b")).alias("label")).distinct().join(held, "label", "left_anti")
     wanted = materialize(labels.join(sets.select("label", "doc"), "label"), "wanted")
-    place = F.pmod(F.xxhash64("doc"), F.lit(1 << FILTER_BITS))
-    bits = np.zeros(1 << FILTER_BITS, np.bool_)
-    maps = wanted.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
-    for r in maps.collect():
-        run = np.unpackbits(np.frombuffer(bytes(r.bits), np.uint8), bitorder="little")
-        # Bucket k holds the numbers from 32768 * (k - 1) + 1 on; number 0 has a bucket of its own.
-        start = 32768 * (r.k - 1) + 1 if r.k else 0
-        bits[start : start + len(run)] |= run[: len(bits) - start].astype(np.bool_)
+
+    def place(doc: str) -> Column:
+        return F.pmod(F.xxhash64(doc), F.lit(1 << FILTER_BITS)).alias("place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        for batch in batches:
-            keep = pa.array(bits[batch.column(0).to_numpy()])
-            for part, texts in text_slices(iter([batch.filter(keep)])):
-                labels = [xxhash.xxh64_intdigest(shingle_set(t, width, known).tobytes(), 5) for t in texts]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.array(labels, np.uint64))), part.column(1)], ["label", "text"])
+        for _, texts in text_slices(batches):
+            found = shingle_sets(texts, width)
+            label = np.array([xxhash.xxh64_intdigest(h.tobytes(), 5) for h in found], np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(label)), list_array([np.sort(signed(h)) for h in found], np.int64)], ["label", "held"])
 
-    placed = keyed_texts(docs).filter("doc_id is not null").select(F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)).alias("place"), "text")
-    texts = placed.mapInArrow(run, "label long, text string").join(wanted.select("label"), "label", "left_semi")
-    return materialize(texts.groupBy("label").agg(F.first("text").alias("text")), "texts")
+    places = F.broadcast(wanted.select(place("doc")).distinct())
+    few = docs.filter("doc_id is not null").select(place("doc_id"), F.col("text").cast("string").alias("text")).join(places, "place", "left_semi")
+    rows = few.select("text").mapInArrow(run, "label long, held array<long>").join(wanted.select("label"), "label", "left_semi")
+    return rows.groupBy("label").agg(F.first("held").alias("held"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs that link: overlap and union are counted on whole texts."""
-    texts = wanted_texts(docs, sets, pairs, width)
+def verified(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """The pairs that link: overlap and union are counted on the whole sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        before: tuple[int | None, np.ndarray] = None, np.zeros(0, np.uint64)
         for batch in batches:
-            link = []
-            for k in range(batch.num_rows):
-                a = shingle_set((batch.column(2)[k].as_py() or "").encode(), width, known)
-                if batch.column(1)[k].as_py() != before[0]:
-                    before = batch.column(1)[k].as_py(), shingle_set((batch.column(3)[k].as_py() or "").encode(), width, known)
-                common = len(np.intersect1d(a, before[1], assume_unique=True))
-                link.append(100 * common >= percent * (len(a) + len(before[1]) - common))
-            keep = pa.array(link, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+            keep = np.zeros(batch.num_rows, np.bool_)
+            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
+                a, b = x.values.to_numpy(), y.values.to_numpy()
+                common = np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a)
+                keep[k] = 100 * common >= percent * (len(a) + len(b) - common)
+            chosen = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(chosen), batch.column(1).filter(chosen)], ["a", "b"])
 
-    first = pairs.join(texts.select(F.col("label").alias("a"), F.col("text").alias("text_a")), "a")
-    both = first.join(texts.select(F.col("label").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    first = pairs.join(held.select(F.col("label").alias("a"), F.col("held").alias("held_a")), "a")
+    both = first.join(held.select(F.col("label").alias("b"), F.col("held").alias("held_b")), "b")
+    return both.select("a", "b", "held_a", "held_b").mapInArrow(run, "a long, b long")
 
 
 def roots_of(sets: DataFrame, links: DataFrame) -> DataFrame:
@@ -406,18 +430,23 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, round
     below = boundary(sets, lists, percent)
     links, _ = scratch.write(subset_links(sets, below, percent), "subset_links")
     named = roots_of(sets, links)
-    for n in range(rounds + 1):
+    held, names, listing = docs.sparkSession.createDataFrame([], HELD), [], rounds == 0
+    for n in itertools.count():
         lists, left = scratch.write(mixed(lists, named), f"lists{n}")
         if not left:
             break
-        found = listed_pairs(lists, sets, named, below, percent) if n == rounds else chosen_pairs(lists, sets, named, percent, n)
+        found = listed_pairs(lists, sets, named, below, percent) if listing else chosen_pairs(lists, sets, named, percent, n)
         pairs, count = scratch.write(found, f"pairs{n}")
-        if not count:
-            continue
-        new, count = scratch.write(verified(pairs, docs, sets, width, percent), f"links{n}")
-        if count:
-            links, _ = scratch.write(links.union(new), f"all{n}")
+        scratch.write(wanted_sets(docs, sets, pairs, held, width), f"held{n}")
+        names.append(f"held{n}")
+        held = scratch.read_all(names, held.schema)
+        new, more = scratch.write(verified(pairs, held, percent), f"links{n}")
+        links, _ = scratch.write(links.union(new), f"all{n}")
+        if more:
             named = roots_of(sets, links)
+        if listing:
+            break
+        listing = n + 1 >= rounds or more * WORTH < count
     member = sets.select("label", "doc").join(named, "label")
     least = member.join(member.groupBy("root").agg(F.min("doc").alias("component_id")), "root").select("label", "component_id")
     found = rows.join(least, "label", "left")
