@@ -151,13 +151,17 @@ class PlainBoard:
         }
 
 
-def summary_of(timeline):
-    """The same, of what the library decided."""
-    board = timeline.board
+def summary_of(*timelines):
+    """The same, of what the library decided in one batch or several."""
+
+    def every(name):
+        return [r for t in timelines for r in getattr(t, name).collect()]
+
+    board, closed = timelines[-1].board, {(r.flow, r.decision): r.closed_by for r in every("closures")}
     return {
-        "record": sorted((r.flow, r.decision, r.affected, r.restored, r.event) for r in timeline.record.collect()),
+        "record": sorted((r.flow, r.decision, r.affected, r.restored, r.event) for r in every("record")),
         "tasks": sorted((r.flow, r.task, r.status, str(r.finished_at)) for r in board.tasks.collect()),
         "causes": sorted((r.flow, r.task, r.caused_by, str(r.caused_by_task), r.hops, r.kind) for r in board.causes.collect()),
         "fps": sorted((r.flow, r.task, r.dataset, r.slot, r.schema_fp, r.content_fp) for r in board.fps.collect()),
-        "incidents": sorted((r.flow, r.decision, r.dataset, r.flagged, str(r.closed_by)) for r in timeline.incidents.collect()),
+        "incidents": sorted((r.flow, r.decision, r.dataset, r.flagged, str(closed.get((r.flow, r.decision)))) for r in every("incidents")),
     }

@@ -222,7 +222,8 @@ def current_change(marks: DataFrame) -> DataFrame:
 def detection_timing(marks: DataFrame, tasks: DataFrame, measured: DataFrame) -> DataFrame:
     """How long the newest change took to detect: the largest measured figure among its marks.
 
-    `measured` is (flow, task, detected_ms); boards with an unnamed author or no measurement are absent.
+    `measured` is (flow, task, detected_ms); boards with an unnamed author or no measurement are absent. An
+    author that is not on the board has no name to give as source.
     """
     now = current_change(marks).filter(F.col("caused_by_task").isNotNull()).select("flow", "caused_by_task")
     known = tasks.select("flow", F.col("task").alias("caused_by_task"), F.col("name").alias("source"))
@@ -232,7 +233,7 @@ def detection_timing(marks: DataFrame, tasks: DataFrame, measured: DataFrame) ->
         .groupBy("flow", "caused_by_task")
         .agg(F.max("detected_ms").alias("ms"), F.count(F.lit(1)).alias("flagged"))
         .filter(F.col("ms").isNotNull())
-        .join(known, ["flow", "caused_by_task"])
+        .join(known, ["flow", "caused_by_task"], "left")
         .select("flow", "ms", "source", "flagged")
     )
 

@@ -127,10 +127,6 @@ MARKS = {
 }
 
 
-#: Causes whose author is on the same board, so that a board's newest change has a task to name.
-HOME_CAUSES = "SELECT c.* FROM {causes} c SEMI JOIN {tasks} t ON t.flow = c.flow AND t.task = c.caused_by_task"
-
-
 @query("b2_current_change", "SELECT * FROM {newest}", **MARKS)
 def _(e):
     return B.current_change(B.primary_marks(e.tasks, e.causes))
@@ -140,15 +136,13 @@ def _(e):
     "b3_detection_timing",
     """SELECT l.flow, max(m.detected_ms) FILTER (m.detected_ms >= 0) AS ms, t.name AS source, count(*) AS flagged
        FROM {newest} n JOIN {lead} l ON l.flow = n.flow AND l.caused_by_task = n.caused_by_task
-       JOIN {tasks} t ON t.flow = n.flow AND t.task = n.caused_by_task
+       LEFT JOIN {tasks} t ON t.flow = n.flow AND t.task = n.caused_by_task
        LEFT JOIN {measured} m ON m.flow = l.flow AND m.task = l.task
        GROUP BY l.flow, t.name HAVING max(m.detected_ms) FILTER (m.detected_ms >= 0) IS NOT NULL""",
-    **MARKS | {"lead": MARKS["lead"].replace("{causes} c", "{home_causes} c"), "home_causes": HOME_CAUSES},
+    **MARKS,
 )
 def _(e):
-    board = e.tasks.select("flow", F.col("task").alias("caused_by_task"))
-    home = e.causes.join(board, ["flow", "caused_by_task"], "left_semi")
-    return B.detection_timing(B.primary_marks(e.tasks, home), e.tasks, e.measured)
+    return B.detection_timing(B.primary_marks(e.tasks, e.causes), e.tasks, e.measured)
 
 
 @query("b4_last_report", "SELECT flow, max(greatest(finished_at, started_at)) AS last_report FROM {tasks} GROUP BY 1")

@@ -10,6 +10,8 @@ from tidemark.operators import change as C
 from tidemark.operators import fingerprint as P
 from tidemark.operators import ledger as L
 from tidemark.operators import staleness as S
+from tidemark.operators.coordinate import board_of
+from tidemark.operators.timeline import timed_cascades
 from tidemark.plans.erasure_queries import KERNEL, evidence
 from tidemark.operators import coverage as V
 from tidemark.plans.graph_queries import OPEN
@@ -411,11 +413,33 @@ def _(e):
 
 @query(
     "x11_completion_lines",
-    """SELECT report, CASE WHEN changed = 0 THEN 'no outputs changed; nothing was marked stale (unreported)' ELSE 'nothing downstream had finished, so nothing was marked (unreported)' END AS line
-       FROM (SELECT report, count(*) FILTER (cs IS NOT NULL AND (cs <> r.schema_fp OR cc <> r.content_fp)) AS changed FROM {report_outputs} r
-             LEFT JOIN (SELECT flow, task, dataset, schema_fp AS cs, content_fp AS cc FROM {fps} WHERE slot = 'current') f
-               ON f.flow = r.flow AND f.task = r.task AND f.dataset = r.dataset GROUP BY 1)""",
+    """SELECT o.report, CASE WHEN coalesce(n_changed, 0) = 0 THEN 'no outputs changed; nothing was marked stale (unreported)'
+              WHEN coalesce(n_marked, 0) = 0 THEN 'nothing downstream had finished, so nothing was marked (unreported)'
+              ELSE 'marked ' || n_marked || ' finished task(s) stale in unreported' END AS line
+       FROM (SELECT DISTINCT report FROM {report_outputs}) o
+       LEFT JOIN (SELECT report, count(*) AS n_changed FROM {moved} GROUP BY 1) c ON c.report = o.report
+       LEFT JOIN (SELECT report, count(DISTINCT task) AS n_marked FROM {marked} GROUP BY 1) m ON m.report = o.report""",
+    moved="""
+        SELECT r.report, r.flow, r.task AS reporter, r.dataset FROM {report_outputs} r JOIN {fps} f
+          ON f.flow = r.flow AND f.task = r.task AND f.dataset = r.dataset AND f.slot = 'current'
+        WHERE f.schema_fp <> r.schema_fp OR f.content_fp <> r.content_fp""",
+    marked="""
+        WITH RECURSIVE w(report, flow, reporter, task) AS (
+          SELECT DISTINCT m.report, m.flow, m.reporter, r.task FROM {moved} m JOIN {open_reads} r
+            ON r.flow = m.flow AND r.dataset = m.dataset AND r.task <> m.reporter
+          UNION
+          SELECT w.report, w.flow, w.reporter, h.dst FROM w JOIN {hop_edges} h ON h.flow = w.flow AND h.src = w.task AND h.dst <> w.reporter)
+        SELECT * FROM w""",
+    **OPEN,
 )
 def _(e):
-    changed = C.compare_outputs(e.report_outputs, e.fps).groupBy("report").agg(F.count_if(F.col("outcome") == "changed").alias("changed"))
-    return changed.select("report", X.completion_line(F.col("changed"), F.lit(0), F.lit(None).cast("long")).alias("line"))
+    """Each report as if it came first: what it changed, and whom that reaches."""
+    compared = C.compare_outputs(e.report_outputs, e.fps)
+    changed = compared.groupBy("report").agg(F.count_if(F.col("outcome") == "changed").alias("changed"))
+    moved = compared.filter("outcome = 'changed'").select("flow", F.col("report").alias("at"), F.col("task").alias("reporter"), "dataset")
+    board = board_of(e)
+    none = e.reports.select("flow", "task", F.col("report").alias("at")).limit(0)
+    reached = timed_cascades(board, none, moved.withColumn("at", F.col("at") + 1))
+    marked = reached.groupBy((F.col("at") - 1).alias("report")).agg(F.count_distinct("task").alias("marked"))
+    line = X.completion_line(F.col("changed"), F.coalesce("marked", F.lit(0)), F.lit(None).cast("long"))
+    return changed.join(marked, "report", "left").select("report", line.alias("line"))
