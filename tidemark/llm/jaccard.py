@@ -48,8 +48,8 @@ FOLDED = bytes(32 if 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in r
 
 HELD = "label long, held array<long>"
 
-#: Words of 64 parity bits kept of each set.
-PARITY = 4
+#: Words of 64 parity bits kept of each set: those that go through the lists, and those that pairs are judged by.
+PARITY, WIDE = 4, 16
 
 
 def needed(a: int, b: int, percent: int) -> int:
@@ -120,12 +120,12 @@ def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     ]
 
 
-def parity(held: np.ndarray) -> np.ndarray:
-    """Whether an odd number of the hashes falls on each of 64 * PARITY places.
+def parity(held: np.ndarray, words: int = PARITY) -> np.ndarray:
+    """Whether an odd number of the hashes falls on each of 64 * `words` places.
 
     Two sets differ in at least as many shingles as their parities do in bits.
     """
-    odd = np.bincount((held >> np.uint64(8)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
+    odd = np.bincount((held >> np.uint64(8)).astype(np.int64) % (64 * words), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8)).view(">u8").astype(np.uint64).view(np.int64)
 
 
@@ -141,12 +141,12 @@ def list_array(parts: list[np.ndarray], kind: np.dtype) -> pa.ListArray:
 def sketches(docs: DataFrame, width: int) -> DataFrame:
     """A row for each document, and after them a task's counts of the frequency classes (kind 1: label is the class, size the count).
 
-    label is a hash of the set, odd its parities, held its shingles if it is small.
+    label is a hash of the set, odd and wide its parities, held its shingles if it is small.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << CLASS_BITS, np.int64)
-        names = ["kind", "doc_id", "label", "size", "odd", "held"]
+        names = ["kind", "doc_id", "label", "size", "odd", "wide", "held"]
         for batch, texts in text_slices(batches):
             sets = shingle_sets(texts, width)
             counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - CLASS_BITS)).astype(np.int64), minlength=len(counts))
@@ -155,15 +155,15 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.zeros(len(sets), np.int32)), doc_ids(batch), pa.array(signed(labels)), pa.array([len(s) for s in sets], pa.int64()),
-                    list_array([parity(s) for s in sets], np.int64), list_array(small, np.int64),
+                    list_array([parity(s) for s in sets], np.int64), list_array([parity(s, WIDE) for s in sets], np.int64), list_array(small, np.int64),
                 ],
                 names,
             )
         seen = np.flatnonzero(counts)
         none = pa.nulls(len(seen), pa.int64()), pa.nulls(len(seen), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(seen), np.int32)), none[0], pa.array(seen), pa.array(counts[seen]), none[1], none[1]], names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(seen), np.int32)), none[0], pa.array(seen), pa.array(counts[seen]), none[1], none[1], none[1]], names)
 
-    return keyed_texts(docs).mapInArrow(run, "kind int, doc_id long, label long, size long, odd array<long>, held array<long>")
+    return keyed_texts(docs).mapInArrow(run, "kind int, doc_id long, label long, size long, odd array<long>, wide array<long>, held array<long>")
 
 
 def class_ranks(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -298,12 +298,12 @@ def needed_column(a: Column, b: Column, percent: int) -> Column:
     return F.ceil((a + b) * percent / (100 + percent))
 
 
-def may_link(a: str, b: str, percent: int) -> Column:
-    """Whether sizes and parities of the rows `a` and `b` allow a link; with places, whether those do."""
+def may_link(a: str, b: str, percent: int, bits: str = "odd", words: int = PARITY) -> Column:
+    """Whether sizes and parities of the rows `a` and `b` allow a link."""
     sa, sb = F.col(f"{a}.size"), F.col(f"{b}.size")
     apart = F.lit(0)
-    for k in range(PARITY):
-        apart = apart + F.bit_count(F.col(f"{a}.odd")[k].bitwiseXOR(F.col(f"{b}.odd")[k]))
+    for k in range(words):
+        apart = apart + F.bit_count(F.col(f"{a}.{bits}")[k].bitwiseXOR(F.col(f"{b}.{bits}")[k]))
     return (sa * 100 >= sb * percent) & (sb * 100 >= sa * percent) & (apart <= sa + sb - 2 * needed_column(sa, sb, percent))
 
 
@@ -324,10 +324,10 @@ def chosen_pairs(lists: DataFrame, sets: DataFrame, named: DataFrame, percent: i
 
 def allowed(pairs: DataFrame, sets: DataFrame, named: DataFrame, percent: int) -> DataFrame:
     """The pairs, each once, whose sets may link and are not joined yet."""
-    known = sets.join(named, "label").select("label", "size", "odd", "root")
+    known = sets.join(named, "label").select("label", "size", "wide", "root")
     once = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     sides = once.join(known.alias("x"), F.col("a") == F.col("x.label")).join(known.alias("y"), F.col("b") == F.col("y.label"))
-    return sides.filter((F.col("x.root") != F.col("y.root")) & may_link("x", "y", percent)).select("a", "b")
+    return sides.filter((F.col("x.root") != F.col("y.root")) & may_link("x", "y", percent, "wide", WIDE)).select("a", "b")
 
 
 def listed_pairs(lists: DataFrame, sets: DataFrame, named: DataFrame, below: int, percent: int) -> DataFrame:
@@ -344,7 +344,7 @@ def listed_pairs(lists: DataFrame, sets: DataFrame, named: DataFrame, below: int
     rest = ordered & (F.col("x.root") != F.col("y.root")) & in_reach("x", "y", percent) & may_link("x", "y", percent)
     large = (F.col("x.size") >= below) | (F.col("y.size") >= below)
     pairs = x.join(y, [*keys, rest & large])
-    return pairs.select(F.least("x.label", "y.label").alias("a"), F.greatest("x.label", "y.label").alias("b")).distinct()
+    return allowed(pairs.select(F.col("x.label").alias("a"), F.col("y.label").alias("b")), sets, named, percent)
 
 
 def wanted_sets(docs: DataFrame, sets: DataFrame, pairs: DataFrame, held: DataFrame, width: int) -> DataFrame:
@@ -423,17 +423,18 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, round
     rows = sketched.filter("kind = 0")
     ranks, fan = class_ranks(sketched.filter("kind = 1"))
     grouped = rows.filter("size > 0 and doc_id is not null").groupBy("label").agg(
-        F.min("doc_id").alias("doc"), F.first("size").alias("size"), F.first("odd").alias("odd"), F.first("held").alias("held")
+        F.min("doc_id").alias("doc"), F.first("size").alias("size"), F.first("odd").alias("odd"), F.first("wide").alias("wide"), F.first("held").alias("held")
     )
     sets, _ = scratch.write(grouped, "sets")
-    lists, _ = scratch.write(shared_lists(postings(docs.filter("doc_id is not null"), width, percent, ranks, fan)), "lists")
+    lists, shared = scratch.write(shared_lists(postings(docs.filter("doc_id is not null"), width, percent, ranks, fan)), "lists")
     below = boundary(sets, lists, percent)
     links, _ = scratch.write(subset_links(sets, below, percent), "subset_links")
     named = roots_of(sets, links)
     held, names, listing = docs.sparkSession.createDataFrame([], HELD), [], rounds == 0
     for n in itertools.count():
-        lists, left = scratch.write(mixed(lists, named), f"lists{n}")
-        if not left:
+        if n:
+            lists, shared = scratch.write(mixed(lists, named), f"lists{n}")
+        if not shared:
             break
         found = listed_pairs(lists, sets, named, below, percent) if listing else chosen_pairs(lists, sets, named, percent, n)
         pairs, count = scratch.write(found, f"pairs{n}")
