@@ -90,55 +90,81 @@ def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def sorted_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of `text` (small non-negative integers) in the order of their first `depth` symbols or more."""
-    key = np.zeros(len(text), np.uint64)
-    wide = np.concatenate((text, np.zeros(8, text.dtype))).astype(np.uint64)
-    for i in range(7):
-        key = key * np.uint64(512) + wide[i : i + len(text)]
-    known = 7
-    _, rank = np.unique(key, return_inverse=True)
-    while known < depth and int(rank.max()) + 1 < len(text):
-        later = np.concatenate((rank[known:] + 1, np.zeros(min(known, len(rank)), rank.dtype)))[: len(rank)]
-        _, rank = np.unique(rank.astype(np.int64) * (len(text) + 1) + later, return_inverse=True)
+    """Suffixes of `text` (small non-negative integers) in the order of their first `depth` symbols or more.
+
+    The symbols compared double each round, and only suffixes that still share theirs with another
+    one are sorted again.
+    """
+    n, known = len(text), 7
+    key = np.zeros(n, np.uint64)
+    wide = np.concatenate((text, np.zeros(known, text.dtype))).astype(np.uint64)
+    for i in range(known):
+        key = key * np.uint64(512) + wide[i : i + n]
+    order = np.argsort(key)
+    key = key[order]
+    head = np.concatenate(([True], key[1:] != key[:-1]))
+    rank = np.empty(n, np.int64)
+    # A rank is the place where the suffix's group of equals starts, so it stays when others are split.
+    rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
+    while known < depth:
+        tied = np.flatnonzero(~(head & np.concatenate((head[1:], [True]))))
+        if not len(tied):
+            break
+        suffix = order[tied]
+        later = np.where(suffix + known < n, rank[np.minimum(suffix + known, n - 1)] + 1, 0)
+        key = rank[suffix] * (n + 1) + later
+        by = np.argsort(key)
+        key, suffix = key[by], suffix[by]
+        order[tied] = suffix
+        first = np.concatenate(([True], key[1:] != key[:-1]))
+        head[tied] = first
+        rank[suffix] = np.maximum.accumulate(np.where(first, tied, 0))
         known *= 2
-    return np.argsort(rank, kind="stable")
+    return order
 
 
 def split_ranks(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     """Where, in the order of suffixes, neighbours share fewer than `length` symbols (place r: r-1 and r).
 
-    Breadth first over the strings that occur, by length: a string's interval of suffixes is extended
-    by each symbol that the transform shows before one of them, which gives the interval of the string
-    one longer. An interval's right end parts suffixes that share exactly the shorter string's length,
-    so common prefixes come out by increasing value; an end already known needs no extension. After
-    `length` steps the ends not found are those with a longer common prefix. Symbol 0 ends a text:
-    nothing is extended over it.
+    Breadth first over the strings that occur, by length: a string w has an interval of suffixes, and
+    cw, for a symbol c that the transform shows in it, has C[c] + Occ(c, low) .. C[c] + Occ(c, high).
+    Both ends are read off the first and the last place of c in the interval, found by the next place
+    of the same symbol on either side, so no suffix is sorted here. An interval's right end parts
+    suffixes that share exactly the shorter string's length, so common prefixes come out by
+    increasing value; an end already known needs no extension. After `length` steps the ends not
+    found are those with a longer common prefix. Symbol 0 ends a text: nothing is extended over it.
     """
     n = len(text)
-    rank = np.empty(n, np.int64)
-    rank[order] = np.arange(n)
-    before = np.where(order > 0, rank[order - 1], -1)
-    symbol = np.where(order > 0, text[order - 1], 0)
+    symbol = np.where(order > 0, text[order - 1], 0).astype(np.int16)
+    starts = np.cumsum(np.bincount(text, minlength=int(symbol.max(initial=0)) + 2))
+    by_symbol = np.argsort(symbol, kind="stable")
+    sorted_symbol = symbol[by_symbol]
+    # C[c] + Occ(c, r) for the symbol c at r; and the places of c next to r.
+    seen = np.cumsum(np.bincount(symbol, minlength=len(starts)))
+    to = np.empty(n, np.int32)
+    to[by_symbol] = np.arange(n) - np.concatenate(([0], seen))[sorted_symbol] + np.concatenate(([0], starts))[sorted_symbol]
+    alike = sorted_symbol[1:] == sorted_symbol[:-1]
+    following, preceding = np.full(n, n, np.int32), np.full(n, -1, np.int32)
+    following[by_symbol[:-1][alike]] = by_symbol[1:][alike]
+    preceding[by_symbol[1:][alike]] = by_symbol[:-1][alike]
+    # Nothing follows the symbol that ends a text.
+    ending = symbol == 0
+    following[ending], preceding[ending] = -1, n
     known = np.zeros(n + 1, bool)
-    known[[0, n]] = True
-    low, high = np.array([0]), np.array([n])
-    for depth in range(length):
+    high = np.unique(starts[starts > 0])
+    low = np.concatenate(([0], high[:-1]))
+    known[low] = known[high] = True
+    for _ in range(length - 1):
         sizes = high - low
         total = int(sizes.sum())
         if not total:
             break
-        interval = np.repeat(np.arange(len(low)), sizes)
-        ranks = np.arange(total) - np.repeat(np.cumsum(sizes) - sizes, sizes) + low[interval]
-        use = (before[ranks] >= 0) if depth == 0 else (symbol[ranks] > 0)
-        interval, ranks = interval[use], ranks[use]
-        to = before[ranks]
-        by_target = np.argsort(to, kind="stable")
-        to, interval, signs = to[by_target], interval[by_target], symbol[ranks][by_target]
-        if not len(to):
-            break
-        last = np.concatenate((np.flatnonzero((interval[1:] != interval[:-1]) | (signs[1:] != signs[:-1])), [len(to) - 1]))
-        head = np.concatenate(([0], last[:-1] + 1))
-        low, high = to[head], to[last] + 1
+        ranks = np.arange(total, dtype=np.int32) + np.repeat((low - np.cumsum(sizes) + sizes).astype(np.int32), sizes)
+        # Intervals of one length do not meet, so sorted ends belong together.
+        low, high = (
+            np.sort(to[ranks[preceding[ranks] < np.repeat(low.astype(np.int32), sizes)]]),
+            np.sort(to[ranks[following[ranks] >= np.repeat(high.astype(np.int32), sizes)]]) + 1,
+        )
         fresh = ~known[high]
         low, high = low[fresh], high[fresh]
         known[high] = True
@@ -146,24 +172,29 @@ def split_ranks(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
 
 
 def later_windows(segments: list[bytes], docs: np.ndarray, lows: np.ndarray, spans: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(document, start) of the windows of these segments that equal one with an earlier place."""
-    flat = np.frombuffer(b"".join(b"\0" + s for s in segments) + b"\0", np.uint8).astype(np.int16)
-    text = flat + 1
-    sizes = np.array([len(s) for s in segments])
+    """(document, start) of the windows of these segments that equal one with an earlier place, in that order."""
+    by = np.lexsort((lows, docs))
+    docs, lows, spans = docs[by], lows[by], spans[by]
+    text = np.frombuffer(b"\0" + b"\0".join(segments[i] for i in by) + b"\0", np.uint8).astype(np.int16) + 1
+    sizes = np.array([len(segments[i]) for i in by])
     at = np.cumsum(sizes + 1) - sizes
     text[at - 1] = 0
     text[-1] = 0
     order = sorted_suffixes(text, length)
     group = np.cumsum(split_ranks(text, order, length)[:-1])
-    rank = np.empty(len(text), np.int64)
-    rank[order] = np.arange(len(text))
-    owner = np.repeat(np.arange(len(segments)), spans)
-    step = np.arange(len(owner)) - np.repeat(np.cumsum(spans) - spans, spans)
-    doc, start, which = docs[owner], lows[owner] + step, group[rank[at[owner] + step]]
-    by = np.lexsort((start, doc, which))
-    again = np.concatenate(([False], which[by][1:] == which[by][:-1]))
-    picked = by[again]
-    return doc[picked], start[picked]
+    # Segments lie in the order of their places, so a window's offset in the text tells which is earlier.
+    window = np.repeat(np.arange(len(sizes)), spans)
+    offset = np.arange(len(window)) - np.repeat(np.cumsum(spans) - spans, spans) + at[window]
+    starts = np.zeros(len(text), bool)
+    starts[offset] = True
+    use = starts[order]
+    order, group = order[use], group[use]
+    head = np.concatenate(([True], group[1:] != group[:-1]))
+    first = np.minimum.reduceat(order, np.flatnonzero(head)) if len(order) else order
+    starts[first] = False
+    picked = starts[offset]
+    window, offset = window[picked], offset[picked]
+    return docs[window], lows[window] + offset - at[window]
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, most: int = MOST_SEGMENTS) -> DataFrame:
@@ -211,8 +242,6 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block:
     def expand(table: pa.Table) -> pa.Table:
         columns = [table.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "lo", "span")]
         doc, start = later_windows(table.column("bytes").to_pylist(), *columns, length)
-        by = np.lexsort((start, doc))
-        doc, start = doc[by], start[by]
         run, count = window_runs(doc, start)
         return pa.table({"doc_id": doc[run], "a": start[run], "b": start[run] + count + length - 1})
 
