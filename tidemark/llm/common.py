@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import Scratch
+from tidemark.session import Scratch, materialize
 
 #: What `documents` keys on; every operator takes it as a bigint.
 DOC_ID = "doc_id"
@@ -41,6 +41,39 @@ def keyed_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col(DOC_ID).cast("long").alias(DOC_ID), F.col("text").cast("string").alias("text"))
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """`name`, behind as many underscores as make it none of the table's columns."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def with_row_keys(docs: DataFrame, label: str) -> tuple[DataFrame, str, str]:
+    """`docs` with two columns more, and their names: a bigint key and a flag.
+
+    The key tells documents apart and follows the order of doc_id; it is null where doc_id is. Rows of
+    one doc_id with different texts are documents of their own, in the order of a digest of the text.
+    Rows equal in doc_id and text are one document: they share a key, and one of them is flagged.
+
+    Where no doc_id repeats the key is the doc_id. Otherwise arrival numbers, keys and the keyed rows
+    are written once, so a task that runs again finds the same keys; copies are counted before they
+    are shuffled, and the join that hands out keys is splittable by adaptive execution.
+    """
+    own = F.col(DOC_ID).cast("long")
+    key, lead = unused(docs, "_row"), unused(docs, "_lead")
+    if docs.filter(own.isNotNull()).groupBy(own.alias("id")).count().filter("count > 1").isEmpty():
+        return docs.withColumn(key, own).withColumn(lead, F.lit(True)), key, lead
+    at, doc, sha = (unused(docs, n) for n in ("_at", "_doc", "_sha"))
+    arrived = materialize(docs.withColumn(at, F.monotonically_increasing_id()), label)
+    digest = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)
+    different = arrived.filter(own.isNotNull()).groupBy(own.alias(doc), digest.alias(sha)).agg(F.min(at).alias(lead))
+    keys = different.repartitionByRange(doc, sha).sortWithinPartitions(doc, sha).withColumn(key, F.monotonically_increasing_id())
+    joined = arrived.join(materialize(keys, label), (own == F.col(doc)) & (digest == F.col(sha)), "left")
+    flagged = F.coalesce(F.col(at) == F.col(lead), F.lit(True)).alias(lead)
+    return materialize(joined.select(*docs.columns, key, flagged), label), key, lead
+
+
 def held_out() -> Column:
     """True for the fifth of the documents that nothing is learned from."""
     return F.crc32(F.col(DOC_ID).cast("string")) % 5 == 0

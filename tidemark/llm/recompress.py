@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import doc_ids, keyed_texts, text_slices
+from tidemark.llm.common import doc_ids, keyed_texts, text_slices, with_row_keys
 from tidemark.llm.repeats import ANCHORS, Powers, Prefix, Repeats, cut_out, equal_windows, mix, window_runs
 from tidemark.session import Scratch
 
@@ -116,8 +116,9 @@ def hashed_words(text: bytes) -> list[int]:
     return list(map(xxhash.xxh64_intdigest, text.split()))
 
 
-def summaries_and_anchors(docs: DataFrame, window: int, rounds: int, context: int) -> DataFrame:
-    """A row for each document (null name; n_words and kept_sha256 of the whole text) and one for each anchor."""
+def summaries_and_anchors(rows: DataFrame, window: int, rounds: int, context: int) -> DataFrame:
+    """A row for each row of `rows` (doc_id, text, own, lead) with a null name, the whole text's n_words and
+    kept_sha256, and own; and one for each anchor of the leading ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_slices(batches, 1 << 20):
@@ -127,9 +128,10 @@ def summaries_and_anchors(docs: DataFrame, window: int, rounds: int, context: in
             sha = [hashlib.sha256(b" ".join(w)).hexdigest() for w in words]
             none = pa.nulls(len(texts), pa.int64())
             short = pa.nulls(len(texts), pa.int32())
-            names = ["name", "seg", "doc_id", "lo", "span", "n_words", "kept_sha256"]
-            yield pa.RecordBatch.from_arrays([none, none, ids, short, short, pa.array(sizes, pa.int64()), pa.array(sha, pa.string())], names)
-            known = np.array([w for w in ids.is_valid().to_pylist()], bool)
+            own = batch.column("own")
+            names = ["name", "seg", "doc_id", "lo", "span", "n_words", "kept_sha256", "own"]
+            yield pa.RecordBatch.from_arrays([none, none, ids, short, short, pa.array(sizes, pa.int64()), pa.array(sha, pa.string()), own], names)
+            known = np.array([i and w for i, w in zip(ids.is_valid().to_pylist(), batch.column("lead").to_pylist())], bool)
             hashes = np.array([xxhash.xxh64_intdigest(w) for ws in words for w in ws], np.uint64)
             name, seg, owner, lo, span = word_anchors(hashes, sizes, window, rounds, context)
             use = known[owner]
@@ -137,12 +139,12 @@ def summaries_and_anchors(docs: DataFrame, window: int, rounds: int, context: in
                 [
                     pa.array(name[use].view(np.int64)), pa.array(seg[use].view(np.int64)), ids.take(pa.array(owner[use])),
                     pa.array(lo[use].astype(np.int32)), pa.array(span[use].astype(np.int32)),
-                    pa.nulls(int(use.sum()), pa.int64()), pa.nulls(int(use.sum()), pa.string()),
+                    pa.nulls(int(use.sum()), pa.int64()), pa.nulls(int(use.sum()), pa.string()), pa.nulls(int(use.sum()), pa.int64()),
                 ],
                 names,
             )
 
-    return keyed_texts(docs).mapInArrow(run, ANCHORS + ", n_words long, kept_sha256 string")
+    return rows.mapInArrow(run, ANCHORS + ", n_words long, kept_sha256 string, own long")
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, context: int = CONTEXT) -> DataFrame:
@@ -152,13 +154,16 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS,
     that covers it starts anywhere else as well, in the same document or another; all such places
     lose it. Windows are judged on the input. `kept` holds the words left, joined by one space, and is
     null where nothing was removed. Null, empty and short texts lose nothing. A row with a null
-    doc_id is summed up but neither loses nor causes a removal; rows that repeat a doc_id are one
-    document. Extra columns are ignored.
+    doc_id is summed up but neither loses nor causes a removal. Rows equal in doc_id and text are one
+    document and come out alike; different texts under one doc_id are documents of their own. Extra
+    columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "recompress")
-    both, _ = scratch.write(summaries_and_anchors(docs, window, rounds, context), "anchors")
+    keyed, key, lead = with_row_keys(keyed_texts(docs), "recompress_rows")
+    rows = keyed.select(F.col(key).alias("doc_id"), "text", F.col("doc_id").alias("own"), F.col(lead).alias("lead"))
+    both, _ = scratch.write(summaries_and_anchors(rows, window, rounds, context), "anchors")
     repeats = Repeats(both.filter("name is not null").select("name", "seg", "doc_id", "lo", "span"), "recompress")
-    texts = repeats.texts(docs)
+    texts = repeats.texts(rows.filter("lead"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, slice_texts in text_slices(batches, 1 << 20):
@@ -181,7 +186,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS,
     parts = equal_windows(single).select("doc_id", F.col("start").alias("a"), (F.col("start") + window).alias("b"))
     cut = cut_out(texts, whole.union(parts), bytes.split, b" ")
     kept = cut.select(F.col("doc_id").alias("_doc"), "n_removed", F.col("kept_sha256").alias("_sha"), "kept")
-    return both.filter("name is null").select("doc_id", "n_words", "kept_sha256").join(kept, F.col("doc_id") == F.col("_doc"), "left").select(
-        "doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
+    return both.filter("name is null").select("own", "doc_id", "n_words", "kept_sha256").join(kept, F.col("doc_id") == F.col("_doc"), "left").select(
+        F.col("own").alias("doc_id"), "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("_sha", "kept_sha256").alias("kept_sha256"), F.col("kept").cast("string").alias("kept"),
     )

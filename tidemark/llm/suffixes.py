@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import doc_ids, keyed_texts, text_slices
+from tidemark.llm.common import doc_ids, keyed_texts, text_slices, with_row_keys
 from tidemark.llm.repeats import ANCHORS, Powers, Prefix, Repeats, cut_out, equal_windows, place, window_runs
 from tidemark.session import Scratch
 
@@ -203,16 +203,19 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block:
     A byte goes if a string of `length` bytes that covers it also starts earlier: in a smaller doc_id
     or further left in the same text. Strings are judged on the input and never cross documents.
     `kept` holds the bytes left and is null where nothing was removed. Null, empty and short texts lose
-    nothing. A row with a null doc_id is summed up but neither loses nor causes a removal; rows that
-    repeat a doc_id are one document. Extra columns are ignored.
+    nothing. A row with a null doc_id is summed up but neither loses nor causes a removal. Rows equal in
+    doc_id and text are one document and come out alike; different texts under one doc_id are documents
+    of their own, in the order of their SHA-256. Extra columns are ignored.
 
     Segments of text that anchors show to be shared are dealt into blocks by their anchor, so equal
     strings meet, and each block is transformed and expanded by itself. An anchor with more than
     `most` different segments would make a block of its own grow with the input; its windows are
     compared by two 64-bit hashes instead, aggregated before they are shuffled.
     """
-    repeats = Repeats(anchors(docs, length, gram), "suffixes")
-    texts = repeats.texts(docs)
+    rows, key, lead = with_row_keys(keyed_texts(docs), "suffix_rows")
+    lead_rows = rows.filter(lead).select(F.col(key).alias("doc_id"), "text")
+    repeats = Repeats(anchors(lead_rows, length, gram), "suffixes")
+    texts = repeats.texts(lead_rows)
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, slice_texts in text_slices(batches):
@@ -260,11 +263,11 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block:
     removed = cut_out(texts, gone, bytes, b"").select(
         F.col("doc_id").alias("_doc"), "n_removed", "n_spans", F.col("kept_sha256").alias("_sha"), "kept"
     )
-    whole = keyed_texts(docs).select(
-        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+    whole = rows.select(
+        "doc_id", key, F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
         F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha"),
     )
-    return whole.join(removed, F.col("doc_id") == F.col("_doc"), "left").select(
+    return whole.join(removed, F.col(key) == F.col("_doc"), "left").select(
         "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("_sha", "sha").alias("kept_sha256"), "kept",
     )
