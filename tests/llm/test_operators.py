@@ -182,11 +182,12 @@ def plain_lines(texts, reach):
     return gone
 
 
-def test_line_dedup_equals_brute_force(spark):
+@pytest.mark.parametrize("gram, window", [(2, 2), (1, 2), (1, 1), (1, 4), (2, 5)])
+def test_line_dedup_equals_brute_force(spark, gram, window):
     rng = random.Random(9)
     texts = ["\n".join(rng.choice(["a", "b", "c", "", " a ", "dd"]) for _ in range(rng.randrange(0, 14))) for _ in range(60)] + [None, "", "\n\n\n", "x\n" * 500]
-    gone = plain_lines(texts, 3)
-    got = {r.doc_id: r for r in lines.line_dedup(docs_of(spark, texts)).collect()}
+    gone = plain_lines(texts, gram + window - 1)
+    got = {r.doc_id: r for r in lines.line_dedup(docs_of(spark, texts), gram, window).collect()}
     for i, t in enumerate(texts):
         want = None if t is None else "\n".join(line for p, line in enumerate(t.split("\n")) if p not in gone[i])
         assert (got[i].text, got[i].n_removed) == (want, len(gone[i]))
