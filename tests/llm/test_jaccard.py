@@ -114,6 +114,37 @@ def test_parities_differ_no_more_than_sets():
         assert bits <= len(np.setxor1d(one, two))
 
 
+def test_long_parities(spark):
+    """No linked pair is turned away, folded or not; unrelated large sets are."""
+    rng = np.random.default_rng(4)
+    rows, linked = [], []
+    for n in (900, 1025, 1100, 2047, 2060, 4090, 9000):
+        base = rng.integers(0, 2**63, n).astype(np.uint64)
+        for away in (0, 0.08, 0.1, 0.12, 0.9):
+            other = np.unique(np.concatenate((base[int(n * away) :], rng.integers(0, 2**63, int(n * away * rng.choice([0.5, 1, 1.1]))).astype(np.uint64))))
+            one = np.unique(base)
+            common = len(np.intersect1d(one, other))
+            linked.append(100 * common >= 80 * (len(one) + len(other) - common))
+            rows.append((len(rows), *((len(x), jaccard.long_parity(x).tolist()) for x in (one, other))))
+    kind = "struct<size:long,long:array<long>>"
+    found = spark.createDataFrame(rows, f"at long, x {kind}, y {kind}").select("at", jaccard.may_link_long("x", "y", 80).alias("may"))
+    may = [r.may for r in sorted(found.collect())]
+    assert all(m for m, yes in zip(may, linked) if yes) and 14 < sum(linked) < 35
+    assert not any(m for m, r in zip(may[4::5], rows[4::5]) if r[1][1] and r[2][1])
+    assert [len(jaccard.long_parity(np.arange(n, dtype=np.uint64))) for n in (1024, 1025, 2048, 2049)] == [0, 32, 32, 64]
+
+
+def test_large_sets_equal_all_pairs(spark):
+    rng = random.Random(8)
+    texts = []
+    for size in (1020, 2040, 2300):
+        base = prose(rng, size, 6000)
+        texts += [base, *(changed(rng, base, size * share // 1000) for share in (15, 20, 22, 24, 26, 35))]
+    rows = list(enumerate(texts))
+    assert ours(spark, rows) == plain_components(rows)
+    assert ours(spark, rows, rounds=0) == plain_components(rows)
+
+
 def test_hashes_follow_the_words_alone(monkeypatch):
     rng = random.Random(6)
     texts = ["", " ", "One", "a\tb", "A  B", "x" * 300, "a\0", "é ü " * 9, *(prose(rng, rng.randrange(1, 80)) for _ in range(40))]

@@ -49,6 +49,7 @@ FOLDED = bytes(32 if 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in r
 HELD = "label long, held array<long>"
 
 #: Words of 64 parity bits kept of each set: those that go through the lists, and those that pairs are judged by.
+#: Both are powers of 2. Larger sets than WIDE has bits have a third parity, of a bit or more for each shingle.
 PARITY, WIDE = 4, 16
 
 
@@ -129,6 +130,16 @@ def parity(held: np.ndarray, words: int = PARITY) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(">u8").astype(np.uint64).view(np.int64)
 
 
+def long_parity(held: np.ndarray) -> np.ndarray:
+    """The parities of a large set on the least power of 2 of places that is not below its size; none of another.
+
+    A power of 2 lets one of twice the places be folded: the places of each half share a bit.
+    """
+    if len(held) <= 64 * WIDE:
+        return np.zeros(0, np.int64)
+    return parity(held, 1 << (-(-len(held) // 64) - 1).bit_length())
+
+
 def signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 
@@ -141,12 +152,12 @@ def list_array(parts: list[np.ndarray], kind: np.dtype) -> pa.ListArray:
 def sketches(docs: DataFrame, width: int) -> DataFrame:
     """A row for each document, and after them a task's counts of the frequency classes (kind 1: label is the class, size the count).
 
-    label is a hash of the set, odd and wide its parities, held its shingles if it is small.
+    label is a hash of the set, odd, wide and long its parities, held its shingles if it is small.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << CLASS_BITS, np.int64)
-        names = ["kind", "doc_id", "label", "size", "odd", "wide", "held"]
+        names = ["kind", "doc_id", "label", "size", "odd", "wide", "long", "held"]
         for batch, texts in text_slices(batches):
             sets = shingle_sets(texts, width)
             counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - CLASS_BITS)).astype(np.int64), minlength=len(counts))
@@ -155,15 +166,16 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.zeros(len(sets), np.int32)), doc_ids(batch), pa.array(signed(labels)), pa.array([len(s) for s in sets], pa.int64()),
-                    list_array([parity(s) for s in sets], np.int64), list_array([parity(s, WIDE) for s in sets], np.int64), list_array(small, np.int64),
+                    list_array([parity(s) for s in sets], np.int64), list_array([parity(s, WIDE) for s in sets], np.int64),
+                    list_array([long_parity(s) for s in sets], np.int64), list_array(small, np.int64),
                 ],
                 names,
             )
         seen = np.flatnonzero(counts)
         none = pa.nulls(len(seen), pa.int64()), pa.nulls(len(seen), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(seen), np.int32)), none[0], pa.array(seen), pa.array(counts[seen]), none[1], none[1], none[1]], names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(seen), np.int32)), none[0], pa.array(seen), pa.array(counts[seen]), *[none[1]] * 4], names)
 
-    return keyed_texts(docs).mapInArrow(run, "kind int, doc_id long, label long, size long, odd array<long>, wide array<long>, held array<long>")
+    return keyed_texts(docs).mapInArrow(run, "kind int, doc_id long, label long, size long, odd array<long>, wide array<long>, long array<long>, held array<long>")
 
 
 def class_ranks(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -298,13 +310,40 @@ def needed_column(a: Column, b: Column, percent: int) -> Column:
     return F.ceil((a + b) * percent / (100 + percent))
 
 
+def most_apart(a: str, b: str, percent: int) -> Column:
+    """So many shingles may stand in only one of two linked sets of these sizes."""
+    sa, sb = F.col(f"{a}.size"), F.col(f"{b}.size")
+    return sa + sb - 2 * needed_column(sa, sb, percent)
+
+
 def may_link(a: str, b: str, percent: int, bits: str = "odd", words: int = PARITY) -> Column:
     """Whether sizes and parities of the rows `a` and `b` allow a link."""
     sa, sb = F.col(f"{a}.size"), F.col(f"{b}.size")
     apart = F.lit(0)
     for k in range(words):
         apart = apart + F.bit_count(F.col(f"{a}.{bits}")[k].bitwiseXOR(F.col(f"{b}.{bits}")[k]))
-    return (sa * 100 >= sb * percent) & (sb * 100 >= sa * percent) & (apart <= sa + sb - 2 * needed_column(sa, sb, percent))
+    return (sa * 100 >= sb * percent) & (sb * 100 >= sa * percent) & (apart <= most_apart(a, b, percent))
+
+
+def may_link_long(a: str, b: str, percent: int) -> Column:
+    """Whether the long parities of the rows `a` and `b` allow a link; they do where one has none.
+
+    Of the sizes of linked sets the larger has the same places or, over a power of 2, twice as many or more.
+    """
+    places = F.least(F.size(f"{a}.long"), F.size(f"{b}.long"))
+
+    def folded(side: str) -> Column:
+        bits = F.col(f"{side}.long")
+        return F.transform(
+            F.sequence(F.lit(0), places - 1),
+            lambda i: F.aggregate(
+                F.sequence(i, F.size(bits) - 1, places), F.lit(0).cast("long"), lambda x, k: x.bitwiseXOR(F.get(bits, k))
+            ),
+        )
+
+    met = F.zip_with(folded(a), folded(b), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    apart = F.aggregate(met, F.lit(0), lambda n, x: n + x)
+    return F.when(places > 0, apart <= most_apart(a, b, percent)).otherwise(True)
 
 
 def in_reach(a: str, b: str, percent: int) -> Column:
@@ -327,7 +366,11 @@ def allowed(pairs: DataFrame, sets: DataFrame, named: DataFrame, percent: int) -
     known = sets.join(named, "label").select("label", "size", "wide", "root")
     once = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     sides = once.join(known.alias("x"), F.col("a") == F.col("x.label")).join(known.alias("y"), F.col("b") == F.col("y.label"))
-    return sides.filter((F.col("x.root") != F.col("y.root")) & may_link("x", "y", percent, "wide", WIDE)).select("a", "b")
+    near = sides.filter((F.col("x.root") != F.col("y.root")) & may_link("x", "y", percent, "wide", WIDE)).select("a", "b")
+    large = sets.filter(F.size("long") > 0).select("label", "size", "long")
+    met = near.join(large.alias("x"), F.col("a") == F.col("x.label"), "left").join(large.alias("y"), F.col("b") == F.col("y.label"), "left")
+    either = F.col("x.label").isNull() | F.col("y.label").isNull()
+    return met.filter(F.when(either, True).otherwise(may_link_long("x", "y", percent))).select("a", "b")
 
 
 def listed_pairs(lists: DataFrame, sets: DataFrame, named: DataFrame, below: int, percent: int) -> DataFrame:
@@ -423,7 +466,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, round
     rows = sketched.filter("kind = 0")
     ranks, fan = class_ranks(sketched.filter("kind = 1"))
     grouped = rows.filter("size > 0 and doc_id is not null").groupBy("label").agg(
-        F.min("doc_id").alias("doc"), F.first("size").alias("size"), F.first("odd").alias("odd"), F.first("wide").alias("wide"), F.first("held").alias("held")
+        F.min("doc_id").alias("doc"), F.first("size").alias("size"), F.first("odd").alias("odd"), F.first("wide").alias("wide"), F.first("long").alias("long"),
+        F.first("held").alias("held"),
     )
     sets, _ = scratch.write(grouped, "sets")
     lists, shared = scratch.write(shared_lists(postings(docs.filter("doc_id is not null"), width, percent, ranks, fan)), "lists")
