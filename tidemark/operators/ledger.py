@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.ranking import row_numbers, running_total
-from tidemark.functions.wording import agreeing, hop_label, table_label, text
+from tidemark.functions.wording import hop_label, say, table_label
 
 HISTORY_WINDOW = 200
 LISTED_TASKS = 20
@@ -72,7 +72,7 @@ def raise_incidents(affected: DataFrame) -> DataFrame:
     lines = (
         affected.withColumn("nth", F.row_number().over(first))
         .filter(F.col("nth") <= LISTED_TASKS)
-        .withColumn("line", text(F.col("task"), " (", hop_label(F.col("hops")), ")"))
+        .withColumn("line", say("{task} ({far})", task=F.col("task"), far=hop_label(F.col("hops"))))
         .groupBy("flow", "decision")
         .agg(F.array_sort(F.collect_list(F.struct("nth", "line"))).alias("listed"))
     )
@@ -80,8 +80,8 @@ def raise_incidents(affected: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("flagged"), F.min_by("caused_by", F.struct("hops", "task")).alias("dataset")
     )
     n = F.col("flagged")
-    title = text(n, " finished ", agreeing(n, "task is", "tasks are"), " out of date after ", table_label(F.col("dataset")), " changed")
-    rest = F.when(n > LISTED_TASKS, text("\n… and ", n - LISTED_TASKS, " more")).otherwise("")
+    title = say("{n} finished {n:task is|tasks are} out of date after {table} changed", n=n, table=table_label(F.col("dataset")))
+    rest = F.when(n > LISTED_TASKS, say("\n… and {n} more", n=n - LISTED_TASKS)).otherwise("")
     body = F.concat(F.array_join(F.transform("listed", lambda x: x["line"]), "\n"), rest)
     return count.join(lines, ["flow", "decision"]).select(
         "flow", "decision", "dataset", "flagged", title.alias("title"), body.alias("body")
@@ -133,8 +133,8 @@ def history_rows(records: DataFrame) -> DataFrame:
     a, r = F.col("affected"), F.col("restored")
     parts = F.concat_ws(
         ", ",
-        F.when(a > 0, text(a, " ", agreeing(a, "task"), " went out of date")),
-        F.when(r > 0, text(r, " ", agreeing(r, "flag"), " came off")),
+        F.when(a > 0, say("{n} {n:task|tasks} went out of date", n=a)),
+        F.when(r > 0, say("{n} {n:flag|flags} came off", n=r)),
     )
     headline = (
         F.when(a.isNull(), "a decision was recorded here that cannot be read")

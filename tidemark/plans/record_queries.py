@@ -12,7 +12,7 @@ from tidemark.operators import ledger as L
 from tidemark.operators import staleness as S
 from tidemark.operators.coordinate import board_of
 from tidemark.operators.timeline import timed_cascades
-from tidemark.plans.erasure_queries import KERNEL, evidence
+from tidemark.plans.erasure_queries import KERNEL, REACHED, evidence
 from tidemark.operators import coverage as V
 from tidemark.plans.graph_queries import OPEN
 from tidemark.plans.registry import query
@@ -340,7 +340,7 @@ def _(e):
     "x6_reasons",
     """SELECT flow, task, caused_by, CASE WHEN hops > 1 THEN 'built on work from ' || coalesce(via, 'an upstream task') || ', which is itself out of date because ' || t || ' changed'
           ELSE 'read ' || t || ', and ' || CASE kind WHEN 'schema' THEN 'its columns changed' WHEN 'content' THEN 'its rows changed' ELSE 'its columns and rows changed' END || ' after this finished'
-            || CASE WHEN kind = 'schema' THEN ', comparing everything except batch and loaded_at, which it registered as changing every run' ELSE '' END
+            || CASE WHEN kind = 'schema' THEN ', leaving batch and loaded_at aside, which are registered as different in every run' ELSE '' END
             || CASE WHEN unreported = 0 THEN '' WHEN via IS NOT NULL THEN '. Nothing reported that change; it was noticed when ' || via || ' read the table'
                     ELSE '. Nothing reported that change; an outside observer reported the table''s contents' END END AS reason
        FROM (SELECT *, replace(caused_by, '_', ' ') AS t, caused_by_task AS via, CASE WHEN kind = 'both' THEN 1 ELSE 0 END AS unreported FROM {causes})""",
@@ -377,13 +377,79 @@ def _(e):
     return e.orders.select("o_orderkey", X.duration(ms).alias("took"))
 
 
-@query("x9_residue_sentences")
+#: The sentence of a residue row r, with t the words for its asset and input those for its input.
+RESIDUE_SQL = """CASE r.kind
+    WHEN 'no-attestation' THEN 'nobody has attested anything about ' || t
+    WHEN 'not-total' THEN 'the run that wrote it was a ' || r.detail || ', which leaves earlier rows in place'
+    WHEN 'partitions-uncovered' THEN split_part(r.detail, '/', 1) || ' of ' || split_part(r.detail, '/', 2) || ' partitions are covered'
+    WHEN 'not-sole-producer' THEN 'more than one run contributed to this version of ' || t
+    WHEN 'no-recorded-lineage' THEN 'no upstream lineage is recorded for ' || t || ', so a rebuild has nothing to be checked against'
+    WHEN 'closure-mismatch' THEN 'the rebuild did not declare ' || r.input || ', which is recorded as feeding it'
+    WHEN 'unattested-input' THEN 'it was built from ' || r.input || ' at version ' || split_part(r.detail, '@', 2) || ', which is unattested'
+    WHEN 'predicate-gap' THEN 'nobody searched for ' || r.detail
+    WHEN 'predicate-split' THEN 'no single attestation searched for every identifier; ' || r.detail || ' was searched on its own'
+    WHEN 'unverified-signature' THEN 'a record from ' || r.detail || ' could not be verified'
+    WHEN 'attested-other-version' THEN 'it was attested at version ' || r.detail || ' and has been written since'
+    END"""
+
+
+def shown(urn: str) -> str:
+    """The words for a dataset's name."""
+    return f"replace(string_split(coalesce(string_split({urn}, ',')[2], {urn}), '.')[-1], '_', ' ')"
+
+
+@query("x9_residue_sentences", f"SELECT request, asset, version, kind, {RESIDUE_SQL} AS sentence FROM (SELECT *, {shown('asset')} AS t, {shown("split_part(detail, '@', 1)")} AS input FROM {{residue}}) r", **KERNEL)
 def _(e):
     reasons = V.residue(V.derive(evidence(e)))
     said = X.residue_sentence(F.col("kind"), F.col("detail"), X.table_label(F.col("asset")))
     return reasons.select("request", "asset", "version", "kind", said.alias("sentence"))
 
 
+@query("x9_gap_sentences", "SELECT request, asset, version, 'nobody searched for ' || string_agg(detail, ' and ' ORDER BY detail) AS sentence FROM {residue} WHERE kind = 'predicate-gap' GROUP BY ALL", **KERNEL)
+def _(e):
+    """One sentence a version for all identifiers nobody searched for; a request's identifiers bound the list."""
+    gaps = V.residue(V.derive(evidence(e))).filter("kind = 'predicate-gap'")
+    said = X.gap_sentence(F.array_sort(F.collect_list("detail")))
+    return gaps.groupBy("request", "asset", "version").agg(said.alias("sentence"))
+
+
+@query(
+    "e16_explanations",
+    """WITH named AS (SELECT *, """ + shown("asset") + """ AS t FROM {states}),
+            short AS (SELECT *, """ + shown("split_part(detail, '@', 1)") + """ AS input FROM {residue}),
+            first AS (SELECT request, asset, version, min({{'rank': rank, 'detail': coalesce(detail, ''), 'kind': kind, 'input': coalesce(input, '')}}) AS r FROM short GROUP BY 1, 2, 3)
+       SELECT n.request, n.asset, n.version, n.state, CASE n.state WHEN 'ATTESTED' THEN t || ' at version ' || n.version || ' is attested'
+              WHEN 'CONTRADICTED' THEN t || ' is contradicted: the subject was found in version ' || found_in
+              ELSE t || ' at version ' || n.version || ' is unattested: ' || """ + RESIDUE_SQL + """ END AS explanation
+       FROM named n LEFT JOIN first f ON f.request = n.request AND f.asset = n.asset AND f.version = n.version""",
+    **KERNEL,
+)
+def _(e):
+    """Every reached asset in one sentence; of an unattested one, its most fundamental reason."""
+    d = V.derive(evidence(e))
+    key = ["request", "asset", "version"]
+    first = V.residue(d).groupBy(*key).agg(F.min(F.struct("rank", F.coalesce("detail", F.lit("")).alias("detail"), "kind")).alias("r"))
+    table = X.table_label(F.col("asset"))
+    why = X.residue_sentence(F.col("r.kind"), F.col("r.detail"), table)
+    said = X.explanation(table, F.col("version"), F.col("state"), why, F.col("found_in"))
+    return V.states(d).join(first, key, "left").select(*key, "state", said.alias("explanation"))
+
+
+@query(
+    "x11_assurance_lines",
+    """WITH c AS (
+         SELECT q.request, coalesce(q.hops, 3) AS h, (SELECT count(*) FROM {reached} r WHERE r.request = q.request) AS n,
+                1 + (SELECT count(*) FROM {attestations} a SEMI JOIN {reached} r ON r.request = a.request AND r.asset = a.asset WHERE a.request = q.request) AS k
+         FROM {requests} q)
+       SELECT request, 'Walked ' || h || CASE h WHEN 1 THEN ' hop' ELSE ' hops' END || ' downstream, reached ' || n || CASE n WHEN 1 THEN ' asset' ELSE ' assets' END
+              || ', built from ' || k || ' ledger ' || CASE k WHEN 1 THEN 'record' ELSE 'records' END AS line FROM c""",
+    **REACHED,
+)
+def _(e):
+    said = X.assurance_line(F.col("hops_walked"), F.col("assets_reached"), F.col("evidence_records"))
+    return V.assurance(evidence(e), e.requests).select("request", said.alias("line"))
+
+
 @query(
     "x11_lead_lines",
     """SELECT request, attested || ' of ' || total || CASE WHEN total = 1 THEN ' asset' ELSE ' assets' END || ' covered, ' || unproven || ' unattested'
