@@ -143,6 +143,8 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
 
     Positives are documents that `labels` confirms as toxic; every other document is unlabelled,
     whatever its label. The class prior is the toxic share among the labelled rows outside that fifth.
+    The sample is learned from in the order of its ids and texts, so the model does not depend on
+    how the tables are partitioned.
     """
     told = labels.filter(F.col("toxic").isNotNull() & F.col(DOC_ID).isNotNull() & ~held_out())
     told = told.groupBy(F.col(DOC_ID).cast("long").alias(DOC_ID)).agg(F.max("toxic").alias("toxic"))
@@ -152,10 +154,10 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     prior = min(0.95, counts.toxic / counts.n)
     rows = keyed_texts(docs).filter(F.col(DOC_ID).isNotNull() & F.col("text").isNotNull() & ~held_out() & (F.length("text") <= max_chars))
     yes = bounded_sample(told.filter("toxic = 1").select(DOC_ID), DOC_ID, positives)
-    confirmed = rows.join(F.broadcast(yes), DOC_ID).collect()
+    confirmed = sorted(rows.join(F.broadcast(yes), DOC_ID).collect())
     ids = {r.doc_id for r in confirmed}
     others = bounded_sample(rows.select(DOC_ID, F.lit(True).alias("_other")), DOC_ID, unlabelled)
-    rest = [r for r in rows.join(F.broadcast(others.distinct()), DOC_ID).collect() if r.doc_id not in ids]
+    rest = [r for r in sorted(rows.join(F.broadcast(others.distinct()), DOC_ID).collect()) if r.doc_id not in ids]
     known: dict[str, tuple[int, ...]] = {}
     return train([text_features(r.text.encode(), known) for r in confirmed], [text_features(r.text.encode(), known) for r in rest], prior)
 
