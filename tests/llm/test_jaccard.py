@@ -155,3 +155,36 @@ def test_hashes_follow_the_words_alone(monkeypatch):
     assert [s.tolist() for s in jaccard.shingle_sets(raw, 5)] == alone
     assert [len(s) for s in alone] == [len(plain_set(t)) for t in texts]
     assert alone[3] == alone[4] and alone[2] != alone[6]
+
+
+def test_a_pair_is_listed_where_it_is_first_found(spark, monkeypatch):
+    """Large sets that share passages without linking were listed once for each common shingle."""
+    rng = random.Random(21)
+    first, second = prose(rng, 500, 9000), prose(rng, 300, 9000)
+    texts = [f"{first} {prose(rng, 1000, 9000)}" for _ in range(6)] + [f"{first} {second} {prose(rng, 700, 9000)}" for _ in range(4)]
+    texts += [texts[0], changed(rng, texts[1], 20), changed(rng, texts[7], 20)]
+    rows = list(enumerate(texts))
+    listed, allowed = [], jaccard.allowed
+
+    def counted(pairs, *rest):
+        both = [tuple(sorted(r)) for r in pairs.collect()]
+        listed.append((len(both), len(set(both))))
+        return allowed(pairs, *rest)
+
+    unordered = np.arange(1 << jaccard.CLASS_BITS, dtype=np.uint64), np.ones(1 << jaccard.CLASS_BITS, np.int64)
+    monkeypatch.setattr(jaccard, "class_ranks", lambda _: unordered)
+    monkeypatch.setattr(jaccard, "allowed", counted)
+    assert ours(spark, rows, rounds=0) == plain_components(rows)
+    (rows_listed, pairs_listed), = listed
+    assert 20 < pairs_listed <= rows_listed < 2 * pairs_listed
+
+
+def test_distinct_lists(spark):
+    """Of lists with the same members the first one stays; tokens are ordered as unsigned."""
+    kept = {3: "abc", -9: "ab", 5: "bc"}
+    lists = kept | {7: "abc", -1: "abc", -2: "ab", 6: "bc", 1: "a", 2: "c"}
+    lists = spark.createDataFrame([(t, k % 2, ord(m)) for t, ms in lists.items() for k, m in enumerate(ms)], "token long, part int, label long")
+    found = {}
+    for r in jaccard.distinct_lists(lists).collect():
+        found[r.token] = "".join(sorted(found.get(r.token, "") + chr(r.label)))
+    assert found == kept

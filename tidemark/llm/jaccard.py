@@ -34,6 +34,12 @@ ROUNDS = 3
 #: A round that joins fewer than one in so many of its pairs is the last of these.
 WORTH = 10
 
+#: Lists of a set before a given one by which a pair that an earlier list has is known.
+RECENT = 8
+
+#: Turns the order of signed longs into that of unsigned ones, and back.
+LOWEST = -(1 << 63)
+
 #: Bits of the filter that spares the texts of documents without a candidate a shuffle.
 FILTER_BITS = 20
 
@@ -248,6 +254,18 @@ def shared_lists(posted: DataFrame) -> DataFrame:
     ).dropDuplicates(["token", "part", "label"])
 
 
+def distinct_lists(lists: DataFrame) -> DataFrame:
+    """Of the lists that have the same members the first in the order of shingles, which is that of unsigned tokens; none of one member.
+
+    The first shingle that two sets have in common is the first one of all that its members have in common, so every
+    pair keeps the list that it is first found by. Members are compared by their number and two 64-bit hashes.
+    """
+    members = [F.count(F.lit(1)).alias("_members"), *(F.bit_xor(F.xxhash64("label", F.lit(k))).alias(f"_hash{k}") for k in (1, 2))]
+    told = lists.groupBy("token").agg(*members).filter("_members > 1")
+    first = F.min(F.col("token").bitwiseXOR(F.lit(LOWEST))).bitwiseXOR(F.lit(LOWEST)).alias("token")
+    return lists.join(told.groupBy("_members", "_hash1", "_hash2").agg(first).select("token"), "token", "left_semi")
+
+
 def enumerated(size: int, below: int, percent: int) -> int:
     """How many subsets a set of `size` has for its partners smaller than `below`."""
     return sum(math.comb(size, needed(size, s, percent)) for s in partner_sizes(size, percent) if s < below)
@@ -376,9 +394,12 @@ def allowed(pairs: DataFrame, sets: DataFrame, named: DataFrame, percent: int) -
 def listed_pairs(lists: DataFrame, sets: DataFrame, named: DataFrame, below: int, percent: int) -> DataFrame:
     """All pairs (a, b) that share a list, may link and are not joined yet; pairs of two small sets are left to their subsets.
 
-    A list of several parts compares each part with itself and each other one under a key of its own.
+    A list of several parts compares each part with itself and each other one under a key of its own. A pair is
+    listed where it is first found: not where one of the last RECENT lists before this one has both sets too.
     """
-    held = lists.join(sets.select("label", "odd"), "label").join(named, "label")
+    earlier = Window.partitionBy("label").orderBy("place").rowsBetween(-RECENT, -1)
+    recent = lists.withColumn("before", F.collect_list("token").over(earlier))
+    held = recent.join(sets.select("label", "odd"), "label").join(named, "label")
     left = held.withColumn("_other", F.explode(F.sequence("part", F.col("fan") - 1))).withColumnRenamed("part", "_part")
     right = held.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("part")))).withColumnRenamed("part", "_other")
     x, y = left.alias("x"), right.alias("y")
@@ -386,7 +407,7 @@ def listed_pairs(lists: DataFrame, sets: DataFrame, named: DataFrame, below: int
     ordered = (F.col("x._part") < F.col("y._other")) | (F.col("x.label") < F.col("y.label"))
     rest = ordered & (F.col("x.root") != F.col("y.root")) & in_reach("x", "y", percent) & may_link("x", "y", percent)
     large = (F.col("x.size") >= below) | (F.col("y.size") >= below)
-    pairs = x.join(y, [*keys, rest & large])
+    pairs = x.join(y, [*keys, rest & large & ~F.arrays_overlap("x.before", "y.before")])
     return allowed(pairs.select(F.col("x.label").alias("a"), F.col("y.label").alias("b")), sets, named, percent)
 
 
@@ -456,7 +477,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, round
     n_shingles, links with nothing and has a null component_id. Rows that repeat a doc_id are documents of their own. Extra columns are ignored.
 
     Equal sets are one set. Every set posts its first shingles, in an order that puts frequent ones last.
-    Of sets below a size chosen by cost, subsets are joined; every other link shares an inverted list. Lists are scanned in
+    Of sets below a size chosen by cost, subsets are joined; every other link shares an inverted list. Lists of the same
+    members are one list. Lists are scanned in
     rounds against one member each, which joins a group of near copies by as many comparisons as it has
     members; lists whose members are all joined by then are done, and of the others every pair not joined is compared that
     sizes, places and parities allow. Shingles and sets are told apart by 64-bit hashes.
@@ -470,7 +492,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, round
         F.first("held").alias("held"),
     )
     sets, _ = scratch.write(grouped, "sets")
-    lists, shared = scratch.write(shared_lists(postings(docs.filter("doc_id is not null"), width, percent, ranks, fan)), "lists")
+    every, _ = scratch.write(shared_lists(postings(docs.filter("doc_id is not null"), width, percent, ranks, fan)), "every")
+    lists, shared = scratch.write(distinct_lists(every), "lists")
     below = boundary(sets, lists, percent)
     links, _ = scratch.write(subset_links(sets, below, percent), "subset_links")
     named = roots_of(sets, links)
