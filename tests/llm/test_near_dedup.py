@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from tidemark.llm import simhash
@@ -56,3 +57,21 @@ def test_near_dedup_of_a_group_keeps_what_no_kept_one_covers(spark, rounds):
 def test_near_dedup_keeps_a_repeated_id_with_a_text_that_stays(spark):
     docs = docs_of(spark, ["a b c d e f g h", "m n o p q r s t", "a b c d e f g h", "m n o p q r s t"], [3, 5, 5, 7])
     assert sorted(r.doc_id for r in simhash.near_dedup(docs).collect()) == [3, 5, 5]
+
+
+def test_only_sizes_within_the_similarity_are_compared():
+    """Every pair of sizes within the ratio lies in the windows, and few others do."""
+    sizes = np.sort(np.concatenate([np.arange(1, 200), np.random.default_rng(4).integers(1, 20_000, 600)]))
+    begins, ends = simhash.size_windows(sizes, sizes, 0.8)
+    inside = (np.arange(len(sizes)) >= begins[:, None]) & (np.arange(len(sizes)) < ends[:, None])
+    ratio = np.minimum(sizes, sizes[:, None]) * 10 >= 8 * np.maximum(sizes, sizes[:, None])
+    assert (inside == ratio).all()
+
+
+def test_bands_of_sizes_lose_no_similar_pair(spark):
+    """Equal fingerprints link where the sizes allow the similarity, whatever tile or band they are in."""
+    rows = [([7, 7, 7, 7], n, n) for n in (1, 4, 5, 6, 100, 125, 160, 1000, 1251)]
+    prints = spark.createDataFrame(rows, "fp array<long>, node long, size long")
+    for tile in (1, 100):
+        got = {(r.node, r.root) for r in simhash.near_groups(prints, 256, 73, tile, half=41, similarity=0.8).collect()}
+        assert got == {(4, 4), (5, 4), (6, 4), (100, 100), (125, 100)}

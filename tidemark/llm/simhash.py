@@ -18,8 +18,8 @@ from tidemark.session import Scratch, materialize
 #: Fingerprints in a tile, about: two tiles and one block of comparisons fit in 32 MB.
 TILE = 32_768
 
-#: Fingerprint pairs compared in one numpy call.
-BLOCK = 1 << 20
+#: Fingerprint pairs compared in one numpy call, about: what it makes fits in a core's cache.
+BLOCK = 1 << 16
 
 #: Joins of candidates with the first of their group before a task takes what is left of it.
 ROUNDS = 2
@@ -72,28 +72,56 @@ def fingerprints(docs: DataFrame, width: int = 4, bits: int = 64, seed: int = 42
     return keyed_texts(docs).mapInArrow(run, "doc_id long, fp array<long>")
 
 
-def links_between(a: np.ndarray, b: np.ndarray, radius: int, half: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i in a, j in b) of rows within `radius` bits; both are words x rows, sorted by population count.
+def count_windows(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every row of `a` the range of rows of `b` whose population count is within `radius` of its own."""
+    ones_a = np.bitwise_count(a).sum(0, dtype=np.int64)
+    ones_b = np.bitwise_count(b).sum(0, dtype=np.int64)
+    return np.searchsorted(ones_b, ones_a - radius), np.searchsorted(ones_b, ones_a + radius, side="right")
+
+
+def size_windows(a: np.ndarray, b: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """For every size in `a` the range of `b` that sets of this similarity can have; both are sorted."""
+    slack = 1e-9 * (a + 1)
+    return np.searchsorted(b, similarity * a - slack), np.searchsorted(b, a / similarity + slack, side="right")
+
+
+def links_between(
+    a: np.ndarray, b: np.ndarray, radius: int, half: int | None = None, windows: tuple[np.ndarray, np.ndarray] | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i in a, j in b) of rows within `radius` bits; both are words x rows.
 
-    With `half`, pairs must be within that many bits in the first half of the words as well; only those
-    that are have the other half compared.
+    `windows` holds, for every row of `a`, the range of rows of `b` it is compared with, both ends
+    rising; without it both are sorted by population count, which gives them. With `half`, pairs must
+    be within that many bits in the first half of the words as well; only those that are have the
+    other half compared.
     """
     whole = len(a) if half is None else len(a) // 2
-    ones_a = np.bitwise_count(a).sum(0, dtype=np.int64)
-    ones_b = np.bitwise_count(b).sum(0, dtype=np.int64)
-    step = max(1, BLOCK // max(1, b.shape[1]))
-    for lo in range(0, a.shape[1], step):
-        hi = min(lo + step, a.shape[1])
-        first = np.searchsorted(ones_b, ones_a[lo] - radius)
-        last = np.searchsorted(ones_b, ones_a[hi - 1] + radius, side="right")
-        if first == last:
+    begins, ends = count_windows(a, b, radius) if windows is None else windows
+    # Reused by every block: fresh ones of this size would be mapped and cleared each time.
+    room = max(BLOCK, b.shape[1])
+    xors, counts, sums = np.empty(room, np.uint64), np.empty(room, np.uint8), np.empty(room, np.uint8 if whole < 4 else np.uint16)
+    hi = 0
+    while (lo := hi) < a.shape[1]:
+        first = int(begins[lo])
+        hi = min(a.shape[1], lo + max(1, BLOCK // max(1, int(ends[lo]) - first)))
+        while hi - lo > 1 and (hi - lo) * (int(ends[hi - 1]) - first) > room:
+            hi = lo + (hi - lo) // 2
+        last = int(ends[hi - 1])
+        if first >= last:
             continue
-        apart = np.bitwise_count(a[0, lo:hi, None] ^ b[0, None, first:last])
-        for k in range(1, whole):
-            apart = apart + np.bitwise_count(a[k, lo:hi, None] ^ b[k, None, first:last])
+        shape = (hi - lo, last - first)
+        cells = shape[0] * shape[1]
+        xor, count, apart = (x[:cells].reshape(shape) for x in (xors, counts, sums))
+        for k in range(whole):
+            np.bitwise_xor(a[k, lo:hi, None], b[k, None, first:last], out=xor)
+            np.bitwise_count(xor, out=count)
+            if k:
+                np.add(apart, count, out=apart)
+            else:
+                apart[...] = count
         near = apart <= (radius if half is None else half)
         if near.any():
-            i, j = np.nonzero(near)
+            i, j = np.divmod(np.flatnonzero(near), shape[1])
             i, j = i + lo, j + first
             if half is not None:
                 close = np.bitwise_count(a[:, i] ^ b[:, j]).sum(0, dtype=np.int64) <= radius
@@ -101,25 +129,37 @@ def links_between(a: np.ndarray, b: np.ndarray, radius: int, half: int | None =
             yield i, j
 
 
-def tile_links(members: list[pa.ListScalar], words: int, radius: int, half: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def tile_links(
+    members: list[pa.ListScalar], words: int, radius: int, half: int | None = None, similarity: float | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """The links of a tile pair (or of one tile with itself) as a spanning star of each linked set."""
-    parts, nodes = [], []
+    parts, nodes, sizes = [], [], []
     for m in members:
         flat = m.values
         fp = flat.field("fp").flatten().to_numpy().view(np.uint64).reshape(-1, words).T
-        order = np.argsort(np.bitwise_count(fp).sum(0, dtype=np.int64), kind="stable")
+        by = np.bitwise_count(fp).sum(0, dtype=np.int64) if similarity is None else flat.field("size").to_numpy()
+        order = np.argsort(by, kind="stable")
         parts.append(np.ascontiguousarray(fp[:, order]))
         nodes.append(flat.field("node").to_numpy()[order])
+        sizes.append(by[order])
     shift = 0 if len(parts) == 1 else len(nodes[0])
     labels = np.arange(sum(map(len, nodes)))
-    for i, j in links_between(parts[0], parts[-1], radius, half):
+    if similarity is None:
+        begins, ends = count_windows(parts[0], parts[-1], radius)
+    else:
+        begins, ends = size_windows(sizes[0], sizes[-1], similarity)
+    if len(parts) == 1:  # each pair once
+        begins = np.maximum(begins, np.arange(len(begins)))
+    for i, j in links_between(parts[0], parts[-1], radius, half, (begins, ends)):
         join_labels(labels, i, j + shift)
     every = np.concatenate(nodes)
     tied = labels != np.arange(len(labels))
     return every[tied], every[labels[tied]]
 
 
-def near_groups(prints: DataFrame, bits: int = 64, radius: int = 4, tile: int = TILE, half: int | None = None) -> DataFrame:
+def near_groups(
+    prints: DataFrame, bits: int = 64, radius: int = 4, tile: int = TILE, half: int | None = None, similarity: float | None = None
+) -> DataFrame:
     """(node, root) of the fingerprints linked to another one at `radius` bits or fewer (and `half` in their first half).
 
     `prints` has (fp, node), each fingerprint once. Fingerprints are dealt by population count, and
@@ -128,16 +168,25 @@ def near_groups(prints: DataFrame, bits: int = 64, radius: int = 4, tile: int =
     returns a spanning star for each linked set it found: no link is lost and a group of n near
     copies makes fewer than 2n rows a tile pair, not n * n. The number of tile pairs is quadratic in
     the number of different fingerprints, as the method is.
+
+    With `similarity`, `prints` also has the `size` of each set, 1 or more: sets of that Jaccard
+    similarity have sizes of that ratio or nearer, so tiles are bands of sizes and only sizes within
+    the ratio are compared. Unlike population counts at a wide radius, sizes tell most pairs apart.
     """
     words = bits // 64
-    counted = prints.withColumn("ones", F.aggregate("fp", F.lit(0), lambda s, x: s + F.bit_count(x)))
+    if similarity is None:
+        band, span = F.aggregate("fp", F.lit(0), lambda s, x: s + F.bit_count(x)), radius
+    else:
+        # A little wider than the ratio, so that rounding cannot put a pair two bands apart.
+        band, span = F.floor(F.log("size") / (-1.000001 * math.log(similarity))).cast("int"), 1
+    counted = prints.withColumn("ones", band)
     sizes = counted.groupBy("ones").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("fan"))
     dealt = counted.join(sizes, "ones").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("fan")).cast("int"))
     tiles = materialize(
-        dealt.groupBy("ones", "part").agg(F.collect_list(F.struct("fp", "node")).alias("members")), "tiles"
+        dealt.groupBy("ones", "part").agg(F.collect_list(F.struct(*prints.columns)).alias("members")), "tiles"
     )
     here = tiles.select("ones", "part")
-    near = here.withColumn("near", F.explode(F.sequence(F.col("ones"), F.col("ones") + radius)))
+    near = here.withColumn("near", F.explode(F.sequence(F.col("ones"), F.col("ones") + span)))
     there = here.select(F.col("ones").alias("near"), F.col("part").alias("other"))
     pairs = near.join(there, "near").filter("near > ones or other >= part")
     sides = pairs.select(
@@ -151,7 +200,7 @@ def near_groups(prints: DataFrame, bits: int = 64, radius: int = 4, tile: int =
     work = sides.select("ones", "part", "near", "other", "s.*").join(held, ["o", "p"])
 
     def compare(table: pa.Table) -> pa.Table:
-        a, b = tile_links(list(table.column("members")), words, radius, half)
+        a, b = tile_links(list(table.column("members")), words, radius, half, similarity)
         return pa.table({"a": a, "b": b}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
     links = work.groupBy("ones", "part", "near", "other").applyInArrow(compare, "a long, b long")
@@ -184,9 +233,13 @@ def radius_for(similarity: float, bits: int) -> int:
     return math.floor(bits * share + 4 * math.sqrt(bits * share * (1 - share)))
 
 
+def hashes_of(shingles: Collection[bytes]) -> np.ndarray:
+    return np.unique(np.array([xxhash.xxh64_intdigest(s, 7) for s in shingles], np.uint64).view(np.int64))
+
+
 def shingle_hashes(text: bytes, width: int) -> np.ndarray:
     """The hashes of the different shingles, sorted."""
-    return np.unique(np.array([xxhash.xxh64_intdigest(s, 7) for s in shingles_of(text, width)], np.uint64).view(np.int64))
+    return hashes_of(set(shingles_of(text, width)))
 
 
 def set_hash(hashes: np.ndarray) -> int:
@@ -201,10 +254,11 @@ def set_prints(docs: DataFrame, width: int, bits: int) -> DataFrame:
         for batch, texts in text_slices(batches):
             labels, sizes, words = [], [], []
             for t in texts:
-                held = shingle_hashes(t, width)
+                shingles = set(shingles_of(t, width))
+                held = hashes_of(shingles)
                 labels.append(set_hash(held))
                 sizes.append(len(held))
-                words.append(fingerprint(set(shingles_of(t, width)), seeds))
+                words.append(fingerprint(shingles, seeds))
             flat = np.array(words, np.uint64).view(np.int64).ravel()
             fps = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * len(seeds)), pa.array(flat))
             label = pa.array(np.array(labels, np.uint64).view(np.int64))
@@ -285,8 +339,8 @@ def near_dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8, bits: i
     """
     prints = materialize(set_prints(docs, width, bits).filter("doc_id is not null"), "prints")
     nodes = materialize(prints.groupBy("label").agg(F.min("doc_id").alias("doc"), F.first("fp").alias("fp"), F.first("size").alias("size")), "nodes")
-    search = nodes.filter("size > 0").select("fp", F.col("label").alias("node"))
-    roots = near_groups(search, bits, radius_for(similarity, bits), half=radius_for(similarity, bits // 2))
+    search = nodes.filter("size > 0").select("fp", F.col("label").alias("node"), "size")
+    roots = near_groups(search, bits, radius_for(similarity, bits), half=radius_for(similarity, bits // 2), similarity=similarity)
     members = materialize(roots.join(nodes, roots["node"] == nodes["label"]).select("root", "doc", "label"), "members")
     texts = docs.join(members.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
     rows = set_rows(texts, width).withColumnRenamed("doc_id", "doc").dropDuplicates(["doc", "label"])
