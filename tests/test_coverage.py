@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import wording as X
 from tidemark.operators import coverage as V
+from tidemark.sources.estate import Estate
 
 DAY0 = datetime(2026, 1, 1)
 ATT = (
@@ -364,3 +365,42 @@ def test_reach_honours_each_requests_own_bound(spark):
     hops = spark.createDataFrame([("six", 6), ("one", 1), ("none", None)], "request string, hops int")
     got = {r.request: r.far for r in reach(chain, seeds, hops).groupBy("request").agg({"hop": "max"}).toDF("request", "far").collect()}
     assert got == {"six": 6, "one": 1, "none": 3, "absent": 3}
+
+
+def test_residue_of_one_kind_is_that_part_of_the_whole(derived):
+    d = derived[0]
+    whole = sorted(map(tuple, V.residue(d).collect()), key=str)
+    assert len(whole) == len(set(whole))
+    for kind in V.RESIDUE_RANK:
+        assert sorted(map(tuple, V.residue(d, kind).collect()), key=str) == [r for r in whole if r[4] == kind]
+
+
+def test_states_are_computed_once_for_a_derivation(derived):
+    d = derived[0]
+    assert V.states(d) is V.states(d)
+
+
+def test_an_input_said_twice_is_one_input(spark):
+    ev = V.Evidence(
+        None, None, spark.createDataFrame([("urn:li:dataset:a", "urn:li:dataset:u")], "downstream STRING, upstream STRING"), None, None, None,
+        spark.createDataFrame(
+            [("twice", "urn:li:dataset:a", "v1")] * 2 + [("two", "urn:li:dataset:a", "v1"), ("two", "urn:li:dataset:a", None)],
+            "att_id STRING, input_asset STRING, input_version STRING",
+        ),
+        None,
+    )
+    records = spark.createDataFrame(
+        [(i, "r", "urn:li:dataset:a", "v2", "rebuild", "full", 1) for i in ("twice", "two", "none")],
+        "att_id STRING, request STRING, asset STRING, version STRING, kind STRING, materialization STRING, sole_producer INT",
+    )
+    got = {r.att_id: (r.self_rebuild, r.closed) for r in V.rebuild_checks(records, ev).collect()}
+    assert got == {"twice": (1, 0), "two": (0, 0), "none": (0, 0)}
+
+
+def test_shared_views_are_read_from_what_was_written(spark, tmp_path):
+    """Views made after `share` scan what it wrote, not the tables under it."""
+    spark.createDataFrame([(1, "x", 0, -1.0, "m")], "c_custkey LONG, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING").write.parquet(f"{tmp_path}/customer.parquet")
+    e = Estate(spark, str(tmp_path))
+    e.share("requests")
+    assert e.request_identifiers.count() == 2
+    assert all("customer.parquet" not in f for f in e.request_identifiers.inputFiles())
