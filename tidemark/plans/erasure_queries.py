@@ -346,9 +346,10 @@ VERIFIED = {
 }
 
 
-def verified(e):
+def verified(e, *kinds):
+    e.share("evidence", "evidence_lines")
     now = F.lit("2001-09-01").cast("date")
-    return A.validate_attestations(e.submissions, e.keys, e.key_scopes, e.challenges, now)
+    return A.validate_attestations(e.submissions, e.keys, e.key_scopes, e.challenges, now, *kinds)
 
 
 @query("a3_a8_validate_attestations", "SELECT att_id, array_to_string(failures, ',') AS failures FROM {verified}", **VERIFIED)
@@ -362,8 +363,7 @@ def _failures(name: str, *kinds: str) -> None:
 
     @query(name, sql, **VERIFIED)
     def _(e):
-        each = verified(e).select("att_id", F.explode("failures").alias("failure"))
-        return each.filter(F.col("failure").isin(*kinds))
+        return verified(e, *kinds).select("att_id", F.explode("failures").alias("failure"))
 
 
 _failures("a3_unknown_keys", "unknown-key")
